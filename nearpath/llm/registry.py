@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from nearpath.llm import exactdedup, mixing, quality
+from nearpath.llm import bpe, exactdedup, mixing, quality, tokenfile
 
-MODULES = (quality, exactdedup, mixing)
+MODULES = (quality, exactdedup, bpe, mixing, tokenfile)
 
 
 def queries():
