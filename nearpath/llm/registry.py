@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from nearpath.llm import bpe, exactdedup, mixing, quality, tokenfile
+from nearpath.llm import bpe, exactdedup, langid, mixing, quality, tokenfile
 
-MODULES = (quality, exactdedup, bpe, mixing, tokenfile)
+MODULES = (quality, langid, exactdedup, bpe, mixing, tokenfile)
 
 
 def queries():
