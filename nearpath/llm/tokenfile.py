@@ -25,6 +25,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearpath.llm.bpe import LATIN, MEMO_WORDS, PLAIN, default_path
+from nearpath.llm.bpe import LATIN, PLAIN, Memo, byte_characters, default_path
 from nearpath.llm.common import documents, shared_dir, shuffle_partitions
 
 #: Ids of a segment after which the next document starts a new one.
@@ -130,7 +131,11 @@ class Segment:
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a memo of pieces, which the file's splitter makes independent."""
+    """The tokenizers library behind a memo of pieces, which the file's splitter makes independent.
+
+    Plain texts are split here and their unseen pieces go to the library's BPE model; texts with
+    special tokens or rarer characters go to the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -142,32 +147,22 @@ class LibraryEncoder:
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.type = "<u2" if self.width == 2 else "<u4"
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.code = "H" if self.width == 2 else "I"
+        self.chars = {b: c for b, c in enumerate(byte_characters())}
+        self.memo = Memo(self._piece)
         number = "0-9²³¹¼-¾"
         self.piece = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[{number}]+| ?[^\\s{LATIN}{number}]+|\\s+(?!\\S)|\\s+")
 
-    def _learn(self, words: set[str]) -> None:
-        for word in [w for w in words if w in self.old]:
-            self.new[word] = self.old[word]
-            words.discard(word)
-        unseen = list(words)
-        for word, found in zip(unseen, self.tok.encode_batch_fast(unseen, add_special_tokens=False)):
-            self.new[word] = np.asarray(found.ids, dtype=self.type).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        if len(self.new) > MEMO_WORDS:
-            self.old, self.new = self.new, {}
-        split = [None if PLAIN.search(t) or any(s in t for s in self.special) else self.piece.findall(t) for t in texts]
-        words = set()
-        for pieces in split:
-            if pieces:
-                words.update(pieces)
-        words.difference_update(self.new)
-        self._learn(words)
-        get = self.new.__getitem__
-        return [np.asarray(self.tok.encode(t, add_special_tokens=False).ids, dtype=self.type).tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, split)]
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece by the library's model, which takes byte characters."""
+        shown = piece.encode().decode("latin-1").translate(self.chars)
+        return array(self.code, [t.id for t in self.tok.model.tokenize(shown)]).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """Packed ids of a text."""
+        if PLAIN.search(text) or any(s in text for s in self.special):
+            return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.memo.__getitem__, self.piece.findall(text)))
 
 
 @functools.lru_cache(maxsize=2)
@@ -197,7 +192,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                for key, packed in zip(piece.column(0).to_pylist(), enc.encode([t or "" for t in piece.column(1).to_pylist()])):
+                for key, packed in zip(piece.column(0).to_pylist(), (enc.encode(t or "") for t in piece.column(1).to_pylist())):
                     keys.append(key)
                     blocks += (packed, end)
                     lengths.append(len(packed) // enc.width + 1)
