@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from nearpath.llm import bpe, exactdedup, langid, mixing, quality, substring, tokenfile
+from nearpath.llm import bpe, exactdedup, langid, mixing, neardup, quality, substring, tokenfile
 
-MODULES = (quality, langid, exactdedup, bpe, mixing, substring, tokenfile)
+MODULES = (quality, langid, exactdedup, neardup, bpe, mixing, substring, tokenfile)
 
 
 def queries():
