@@ -316,7 +316,7 @@ class Repeats:
 
 def _answered(docs: DataFrame, span: int, kmer: int, id_col: str, text_col: str):
     n = shuffle_partitions(docs.sparkSession)
-    job = Repeats(span, kmer, n, 4 * n)
+    job = Repeats(span, kmer, n, n)
     key = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(0xFFFFFFFF))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("tag")).withColumn("cell", (F.col("tag") % job.cells).cast("int"))
     by_cell = lambda df: df.withColumnRenamed("bucket", "cell").groupBy("cell")
