@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single document is its own slice.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _ROOT = 0x9E3779B97F4A7C15 | 1
@@ -36,6 +36,9 @@ _LOWER[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: For letter runs: all ASCII but letters and digits separates.
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -68,12 +71,11 @@ def window_hash(values: np.ndarray, k: int, root: int) -> np.ndarray:
 class Words:
     """Words of a slice of documents: ``doc`` (row in the slice), byte ``start``/``end``, ``hash``."""
 
-    __slots__ = ("doc", "start", "end", "hash", "first", "count", "data", "offsets")
+    __slots__ = ("doc", "start", "end", "hash", "first", "count", "total")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-        self.data, self.offsets = data, offsets
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, separators: np.ndarray = _SPACE):
         size, docs = len(data), len(offsets) - 1
-        word = ~_SPACE[data]
+        word = ~separators[data]
         before = np.zeros(size + 1, dtype=bool)
         before[1:] = word
         before[offsets[:-1]] = False
@@ -87,8 +89,12 @@ class Words:
         self.doc = np.repeat(np.arange(docs), self.count)
         total = np.zeros(size + 1, dtype=np.uint64)
         np.cumsum((_LOWER if lower else _BYTE)[data] * powers(_ROOT, size), out=total[1:])
-        back = powers(_inverse(_ROOT), size + 1)
-        self.hash = mix((total[self.end] - total[self.start]) * back[self.start])
+        self.total = total
+        self.hash = self.piece(self.start, self.end)
+
+    def piece(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from start to end."""
+        return mix((self.total[end] - self.total[start]) * powers(_inverse(_ROOT), len(self.total))[start])
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(word index, hash) of each k-word window that lies within one document."""
