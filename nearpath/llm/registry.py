@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from nearpath.llm import bpe, exactdedup, langid, mixing, neardup, quality, substring, tokenfile, toxicity
+from nearpath.llm import bpe, exactdedup, langid, mixing, neardup, pii, quality, substring, tokenfile, toxicity
 
-MODULES = (quality, langid, exactdedup, neardup, bpe, mixing, substring, toxicity, tokenfile)
+MODULES = (quality, langid, exactdedup, neardup, bpe, mixing, substring, toxicity, pii, tokenfile)
 
 
 def queries():
