@@ -7,8 +7,8 @@ that of its worst window; windows overlap and cover the whole text.
 
 Training takes a bounded sample of labelled rows (``FitSetup``).  A toxic document need not be toxic
 in each window, so after the first epochs only its highest windows count as toxic (multiple-instance
-learning), and clean documents are shown by their highest windows and a few others.  Features of
-few sampled documents are not learned.  A share of the sample is kept out of training to choose the
+learning), and clean documents are shown by their highest windows and a few others.  Only
+features that toxic documents hold significantly more often (a two-sample z of ``least_z``) are learned.  A share of the sample is kept out of training to choose the
 cut between the classes.
 
 Defined results: texts without a letter or digit, and null texts, score 0; rows are judged alone;
@@ -37,8 +37,8 @@ class FitSetup:
     """Bounds of the training sample and sizes of the network."""
 
     toxic_rows: int = 900
-    clean_rows: int = 3000
-    train_chars: int = 12_000
+    clean_rows: int = 2500
+    train_chars: int = 4_000
     max_windows: int = 10
     window: int = 64
     stride: int = 48
@@ -47,7 +47,7 @@ class FitSetup:
     attend: int = 8
     word_slots: int = 1 << 15
     char_slots: int = 1 << 15
-    min_share: float = 0.005
+    least_z: float = 4.5
     check_share: float = 0.2
     epochs: int = 6
     updates: int = 200
@@ -88,24 +88,27 @@ class Vocabulary:
         self.words = w = Words(raw, offsets, lower=True, separators=NOT_WORD)
         distinct, first, self.at = np.unique(w.hash, return_index=True, return_inverse=True)
         self.word_slot = (distinct >> _U(33)).astype(np.int64) % setup.word_slots
-        self.who, self.char_slot = char_features(w, first, setup.char_slots)
-
-    def inputs(self, p: dict) -> np.ndarray:
-        n = len(self.word_slot)
-        total = np.zeros((n + 1, p["Ec"].shape[1]), dtype=np.float32)
-        order = np.argsort(self.who, kind="stable")
-        who, slot = self.who[order], self.char_slot[order]
-        values = p["Ec"][slot]
-        count = np.bincount(who, minlength=n)
-        if len(who):
-            at = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-            total[who[at]] = np.add.reduceat(values, at, axis=0)
-        return p["Ew"][self.word_slot] + total[:n] / np.maximum(count, 1)[:, None].astype(np.float32)
-
-
-def window_starts(count: int, window: int, stride: int) -> range:
-    """First words of the overlapping windows that cover ``count`` words."""
-    return range(0, max(1, count - window + stride), stride) if count else range(0)
+        who, slot = char_features(w, first, setup.char_slots)
+        order = np.argsort(who, kind="stable")
+        self.char_slot = slot[order].astype(np.int32)
+        self.edge = np.r_[0, np.cumsum(np.bincount(who, minlength=len(distinct)))]
+
+    def chars(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Character slots of the words, one after the other, and how many each has."""
+        n = self.edge[words + 1] - self.edge[words]
+        at = np.repeat(self.edge[words] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        return self.char_slot[at], n
+
+    def inputs(self, p: dict, chunk: int = 1 << 15) -> np.ndarray:
+        out = p["Ew"][self.word_slot]
+        for low in range(0, len(out), chunk):
+            edge = self.edge[low : low + chunk + 1]
+            n = np.diff(edge)
+            some = np.flatnonzero(n)
+            if len(some):
+                sums = np.add.reduceat(p["Ec"][self.char_slot[edge[0] : edge[-1]]], edge[some] - edge[0], axis=0)
+                out[low + some] += sums / n[some][:, None].astype(np.float32)
+        return out
 
 
 def all_windows(w: Words, setup: FitSetup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,15 +259,22 @@ def train(texts: list[str], toxic: list[int], setup: FitSetup = FitSetup()) -> M
     doc_of = v.words.doc
     pairs = np.unique(doc_of * len(v.word_slot) + v.at)
     seen_doc, seen_word = pairs // len(v.word_slot), pairs % len(v.word_slot)
-    docs_of_word = np.bincount(np.unique(seen_doc * s.word_slots + v.word_slot[seen_word]) % s.word_slots, minlength=s.word_slots)
-    order = np.argsort(v.who, kind="stable")
-    edge = np.searchsorted(v.who[order], np.arange(len(v.word_slot) + 1))
-    reps = edge[seen_word + 1] - edge[seen_word]
-    base = np.repeat(edge[seen_word] - np.r_[0, np.cumsum(reps)[:-1]], reps)
-    char = v.char_slot[order][base + np.arange(len(base))]
-    docs_of_char = np.bincount(np.unique(np.repeat(seen_doc, reps) * s.char_slots + char) % s.char_slots, minlength=s.char_slots)
-    least = max(3, int(s.min_share * len(toxic)))
-    live = {"Ew": (docs_of_word >= least)[:, None], "Ec": (docs_of_char >= least)[:, None]}
+    # rows come in the order of a hash, so every n-th document of a class is a fair share
+    rank = np.where(toxic > 0, np.cumsum(toxic > 0), np.cumsum(toxic == 0))
+    kept_out = rank % max(2, round(1 / s.check_share)) == 0
+    held = np.zeros((2, 2, max(s.word_slots, s.char_slots)))  # (word or char, label, slot): documents
+    for d, (low, high) in enumerate(zip(np.searchsorted(seen_doc, np.arange(len(texts))), np.searchsorted(seen_doc, np.arange(len(texts)), side="right"))):
+        if not kept_out[d]:
+            held[0, int(toxic[d]), np.unique(v.word_slot[seen_word[low:high]])] += 1
+            held[1, int(toxic[d]), np.unique(v.chars(seen_word[low:high])[0])] += 1
+    sizes = [max(1, int((~kept_out & (toxic == c)).sum())) for c in (0, 1)]
+    live = {}
+    for k, (clean, bad), slots in (("Ew", held[0], s.word_slots), ("Ec", held[1], s.char_slots)):
+        clean, bad = clean[:slots], bad[:slots]
+        share = np.clip((clean + bad) / sum(sizes), 1e-9, 1 - 1e-9)
+        z = (bad / sizes[1] - clean / sizes[0]) / np.sqrt(share * (1 - share) * (1 / sizes[0] + 1 / sizes[1]))
+        live[k] = ((z >= s.least_z) & (bad >= 3))[:, None]
+        p[k][:, 0] += np.clip((z - s.least_z) / 4, 0, 2).astype(np.float32)
     for k, m in live.items():
         p[k] *= m
 
@@ -273,15 +283,11 @@ def train(texts: list[str], toxic: list[int], setup: FitSetup = FitSetup()) -> M
     use = np.flatnonzero(nth < s.max_windows)
     doc, first, length = doc[use], first[use], length[use]
     label = toxic[doc]
-    # rows come in the order of a hash, so every n-th document of a class is a fair share
-    rank = np.where(toxic > 0, np.cumsum(toxic > 0), np.cumsum(toxic == 0))
-    kept_out = rank % max(2, round(1 / s.check_share)) == 0
     learn = ~kept_out[doc]
     weight = learn.astype(np.float32)
     step = np.arange(s.window)[:, None]
     m1 = {k: np.zeros_like(a) for k, a in p.items()}
     m2 = {k: np.zeros_like(a) for k, a in p.items()}
-    char_order, char_edge = order, edge
     tick = 0
 
     def batch_of(rows):
@@ -323,17 +329,13 @@ def train(texts: list[str], toxic: list[int], setup: FitSetup = FitSetup()) -> M
             touched = touched[touched < len(v.word_slot)]
             g["Ew"] = np.zeros_like(p["Ew"])
             np.add.at(g["Ew"], v.word_slot[touched], d_table[touched])
-            n = char_edge[touched + 1] - char_edge[touched]
-            if n.sum():
-                src = np.repeat(char_edge[touched] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            slot, n = v.chars(touched)
+            g["Ec"] = np.zeros_like(p["Ec"])
+            if len(slot):
                 share = np.repeat(d_table[touched] / np.maximum(n, 1)[:, None].astype(np.float32), n, axis=0)
-                slot = v.char_slot[char_order[src]]
                 by = np.argsort(slot, kind="stable")
                 cut_at = np.flatnonzero(np.r_[True, np.diff(slot[by]) != 0])
-                g["Ec"] = np.zeros_like(p["Ec"])
                 g["Ec"][slot[by][cut_at]] = np.add.reduceat(share[by], cut_at, axis=0)
-            else:
-                g["Ec"] = np.zeros_like(p["Ec"])
             tick += 1
             rate = s.rate * (1 - 0.7 * epoch / epochs) * np.sqrt(1 - 0.999**tick) / (1 - 0.9**tick)
             for k, a_ in p.items():
