@@ -147,6 +147,15 @@ def unused(placed: DataFrame, taken: DataFrame) -> DataFrame:
     )
 
 
+def resample(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
+    """The documents as often as the mix takes them, in whole documents (halves up); columns as they came."""
+    times = mix(docs, plan).select(F.col("doc_id").alias("__id"), F.expr("cast(floor(taken / greatest(size, 1) + 0.5) as int)").alias("__times"))
+    # rows that repeat an id share the mean of what the mix takes of them
+    times = times.groupBy("__id").agg(F.round(F.avg("__times")).cast("int").alias("__times")).filter("__times > 0")
+    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*[docs[c] for c in docs.columns])
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
