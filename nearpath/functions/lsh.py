@@ -6,13 +6,19 @@ product is formed from 32-bit limbs whose sums stay below 2**63.
 
 The l output hashes are combinations of r left and r right values (r * r >= l), so only r * k base
 hashes are evaluated.
+
+``sign`` does the same over Arrow batches with numpy, whose 64-bit product wraps as wanted; it is the
+faster way for whole tables and needs no bound on the number of points.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearpath.config import LshConfig
@@ -62,6 +68,7 @@ class Family:
     left: tuple[tuple[BaseHash, ...], ...]
     right: tuple[tuple[BaseHash, ...], ...]
     mixers: tuple[int, ...]
+    perturbed: bool = False
 
     @classmethod
     def draw(cls, config: LshConfig, max_points: int, perturbed: bool = False) -> Family:
@@ -78,7 +85,7 @@ class Family:
         own = Draws(config.seed * 1_000_003)
         mixers = tuple(own.word() for _ in range(config.k))
         side = lambda n: tuple(tuple(base() for _ in range(n)) for _ in range(config.side))
-        return cls(config, max_points, side((config.k + 1) // 2), side(config.k // 2), mixers)
+        return cls(config, max_points, side((config.k + 1) // 2), side(config.k // 2), mixers, perturbed)
 
 
 def _longs(values) -> Column:
@@ -141,3 +148,64 @@ def multi_hash(pts: Column, family: Family) -> Column:
         return F.array(*[mix_hash([s["left"][a], s["right"][b]], family.mixers[:2]) for a, b in pairs])
 
     return let(sides, combine)
+
+
+# Arrow batches
+
+def _half_away(v: np.ndarray) -> np.ndarray:
+    return (np.sign(v) * np.floor(np.abs(v) + 0.5)).astype(np.int64)
+
+
+def _kept(cx: np.ndarray, cy: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    """Cells that differ from the one before in their curve."""
+    keep = np.ones(len(cx), dtype=bool)
+    keep[1:] = (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1]) | (curve[1:] != curve[:-1])
+    return keep
+
+
+def _places(curve: np.ndarray) -> np.ndarray:
+    """Index of every row within its curve."""
+    start = np.flatnonzero(np.r_[True, curve[1:] != curve[:-1]]) if len(curve) else curve
+    return np.arange(len(curve)) - np.repeat(start, np.diff(np.r_[start, len(curve)]))
+
+
+def base_hashes(x: np.ndarray, y: np.ndarray, curve: np.ndarray, curves: int, base: BaseHash, delta: float) -> np.ndarray:
+    if base.offsets_x:
+        at = _places(curve)
+        cx, cy = _half_away((x + np.asarray(base.offsets_x)[at]) / delta), _half_away((y + np.asarray(base.offsets_y)[at]) / delta)
+        keep = _kept(cx, cy, curve)
+        x, y, curve = cx[keep].astype(np.float64), cy[keep].astype(np.float64), curve[keep]
+    cx, cy = _half_away((x + base.shift_x) / delta), _half_away((y + base.shift_y) / delta)
+    keep = _kept(cx, cy, curve)
+    cx, cy, curve = cx[keep], cy[keep], curve[keep]
+    at, c = _places(curve), np.asarray(base.coefficients, dtype=np.uint64)
+    terms = cx.view(np.uint64) * c[at] + cy.view(np.uint64) * c[at + 1]
+    out = np.zeros(curves, dtype=np.uint64)
+    if len(terms):
+        start = np.flatnonzero(np.r_[True, curve[1:] != curve[:-1]])
+        out[curve[start]] = np.add.reduceat(terms, start)
+    return out >> np.uint64(32)
+
+
+def sign(curves: DataFrame, family: Family) -> DataFrame:
+    """id and ``hashes``; longer curves than the family has numbers for get more of the same streams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, shift = family, np.uint64(32)
+        for batch in batches:
+            pts = batch.column(1)
+            flat, n = pts.flatten(), np.diff(pts.offsets.to_numpy())
+            x, y = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in "xy")
+            longest = int(n.max()) if len(n) else 0
+            if longest > own.max_points:
+                own = Family.draw(own.config, 1 << longest.bit_length(), own.perturbed)
+            c, curve = own.config, np.repeat(np.arange(len(n)), n)
+            mixers = [np.uint64(m) for m in own.mixers]
+            value = lambda group: sum(base_hashes(x, y, curve, len(n), b, c.resolution) * m for b, m in zip(group, mixers)) >> shift
+            left, right = [value(g) for g in own.left], [value(g) for g in own.right]
+            pairs = [(a, b) for a in range(c.side) for b in range(c.side)][: c.l]
+            words = np.stack([(left[a] * mixers[0] + right[b] * mixers[1]) >> shift for a, b in pairs], axis=1).astype(np.int64) if len(n) else np.zeros((0, c.l), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * c.l), pa.array(words.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "hashes"])
+
+    return curves.select("id", "pts").mapInArrow(run, "id long, hashes array<bigint>")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearpath.functions.lsh import Family, multi_hash
+from nearpath.functions.lsh import Family, sign
 
 
 def signatures(curves: DataFrame, family: Family) -> DataFrame:
-    return curves.select("id", multi_hash(F.col("pts"), family).alias("hashes"))
+    return sign(curves, family)
 
 
 def buckets(signed: DataFrame) -> DataFrame:

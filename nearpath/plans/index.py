@@ -13,8 +13,10 @@ from nearpath.operators import collide, hamming, preprocess, verify
 
 
 def family_for(config: LshConfig, *curves: DataFrame, perturbed: bool = False) -> Family:
-    """A family with enough coefficients for the longest curve of all sides."""
-    return Family.draw(config, max(1, *(preprocess.max_points(c) for c in curves)), perturbed)
+    """The family of a seed; with curves, one with enough coefficients for the longest of them, as the
+    column expressions need (``sign`` draws more by itself)."""
+    longest = max(preprocess.max_points(c) for c in curves) if curves else 0
+    return Family.draw(config, max(64, longest), perturbed)
 
 
 @dataclass
@@ -27,7 +29,7 @@ class TableIndex:
     perturbed: bool = False
 
     def query(self, queries: DataFrame) -> DataFrame:
-        family = family_for(self.lsh, self.data, queries, perturbed=self.perturbed)
+        family = family_for(self.lsh, perturbed=self.perturbed)
         signed, asked = collide.signatures(self.data, family), collide.signatures(queries, family)
         if not self.config.verifies:
             return collide.collisions(asked, signed)
@@ -45,7 +47,7 @@ class TrieIndex:
 
     def query(self, queries: DataFrame) -> DataFrame:
         self.config.check(self.lsh)
-        family = family_for(self.lsh, self.data, queries)
+        family = family_for(self.lsh)
         coded = lambda c: collide.signatures(c, family).withColumnRenamed("hashes", "code")
         codes, asked = coded(self.data), coded(queries)
         found = hamming.prefix_search(asked, codes, self.config).select("query", "candidate")

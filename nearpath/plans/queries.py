@@ -12,7 +12,7 @@ from nearpath.config import LshConfig, TrieConfig
 from nearpath.functions import curves as C
 from nearpath.functions import sketch as S
 from nearpath.functions.frechet import with_distance
-from nearpath.functions.lsh import Family, linear_hash, perturbed_hash
+from nearpath.functions.lsh import Family, linear_hash, multi_hash, perturbed_hash
 from nearpath.operators import collide, evaluate, hamming, preprocess, verify
 from nearpath.plans import oracles as O
 from nearpath.plans.index import family_for
@@ -42,13 +42,11 @@ def vector_curves(spark: Spark, sf: str) -> DataFrame:
 
 
 def line_signatures(spark: Spark, sf: str) -> DataFrame:
-    curves = line_curves(spark, sf)
-    return collide.signatures(curves, family_for(LINE_LSH, curves))
+    return collide.signatures(line_curves(spark, sf), family_for(LINE_LSH))
 
 
 def vector_codes(spark: Spark, sf: str) -> DataFrame:
-    curves = vector_curves(spark, sf)
-    return collide.signatures(curves, family_for(VECTOR_LSH, curves)).withColumnRenamed("hashes", "code")
+    return collide.signatures(vector_curves(spark, sf), family_for(VECTOR_LSH)).withColumnRenamed("hashes", "code")
 
 
 def line_codes(spark: Spark, sf: str) -> DataFrame:
@@ -148,8 +146,14 @@ def multi_hashes(spark: Spark, sf: str) -> DataFrame:
 
 @query(f"WITH {O.signatures(O.LINES, _LINE_MOVED, perturbed=True)} SELECT id, t, hash FROM sig")
 def perturbed_multi_hashes(spark: Spark, sf: str) -> DataFrame:
+    return collide.buckets(collide.signatures(line_curves(spark, sf), family_for(LINE_LSH, perturbed=True)))
+
+
+@query(f"WITH {O.signatures(O.LINES, _LINE)} SELECT id, t, hash FROM sig")
+def multi_hashes_expression(spark: Spark, sf: str) -> DataFrame:
+    """The same hashes by column expressions alone."""
     curves = line_curves(spark, sf)
-    return collide.buckets(collide.signatures(curves, family_for(LINE_LSH, curves, perturbed=True)))
+    return curves.select("id", F.posexplode(multi_hash(F.col("pts"), family_for(LINE_LSH, curves))).alias("t", "hash"))
 
 
 # collisions
@@ -349,7 +353,7 @@ def seed_summary(spark: Spark, sf: str) -> DataFrame:
     curves, runs = line_curves(spark, sf), None
     n = curves.count()
     for seed in (11, 12, 13):
-        signed = collide.signatures(curves, family_for(LshConfig(resolution=6.0, seed=seed), curves))
+        signed = collide.signatures(curves, family_for(LshConfig(resolution=6.0, seed=seed)))
         found = collide.scores(signed, signed)
         one = evaluate.confusion(verify.verify_all(found, curves, curves, DISTANCE), found.filter("score >= 4"), n, n).withColumn("seed", F.lit(seed))
         runs = one if runs is None else runs.unionByName(one)
