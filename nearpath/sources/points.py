@@ -158,3 +158,24 @@ def step_lengths(points: DataFrame, km: float = 111.32) -> DataFrame:
     w = W.partitionBy("id").orderBy("ord")
     dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
     return points.select("id", "ord", (F.sqrt(dx * dx + dy * dy) * km).alias("step"))
+
+
+def write_json(curves: DataFrame, path: str) -> None:
+    """One JSON object a trajectory: its id and its points as [[x, y], ...]."""
+    curves.select("id", F.transform("pts", lambda p: F.array(p["x"], p["y"])).alias("points")).write.json(path)
+
+
+def polyline(pts: Column, digits: int = 5) -> Column:
+    """Encoded polyline of the points (x first), as text."""
+    scaled = F.transform(pts, lambda p: F.array(*[F.floor(p[c] * 10**digits + 0.5).cast("long") for c in "xy"]))
+    zero = F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    deltas = F.flatten(F.transform(F.sequence(F.lit(1), F.size(scaled)), lambda i: F.zip_with(F.element_at(scaled, i), F.when(i > 1, F.get(scaled, i - 2)).otherwise(zero), lambda a, b: a - b)))
+
+    def chunks(v: Column) -> Column:
+        folded = F.when(v < 0, F.shiftleft(-v, 1) - 1).otherwise(F.shiftleft(v, 1))
+        five = lambda k: F.shiftright(folded, 5 * k)
+        last = F.greatest(F.lit(1), *[F.when(five(k) > 0, F.lit(k + 1)).otherwise(0) for k in range(1, 8)])
+        parts = [F.when(last > k, F.char((five(k).bitwiseAND(F.lit(31)) + F.when(last > k + 1, 32).otherwise(0) + 63).cast("long"))).otherwise("") for k in range(8)]
+        return F.concat(*parts)
+
+    return F.array_join(F.transform(deltas, chunks), "")

@@ -139,3 +139,23 @@ def test_streaming_appends_like_one_batch(spark, curves, tmp_path):
     running.stop()
     got = {r.id: r.hashes for r in spark.read.parquet(str(tmp_path / "table")).collect()}
     assert got == {r.id: r.hashes for r in collide.signatures(curves, family).collect()}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from nearpath.plans import run
+
+    rows = [(i, float(o), float(i % 5)) for i in range(20) for o in range(2)]
+    spark.createDataFrame(rows, P.POINTS).coalesce(1).write.parquet(str(tmp_path / "d.parquet"))
+    (tmp_path / "c.toml").write_text("[lsh]\nresolution = 3.0\n[index]\nbits = 8\nradius = 8\nerrors = 8\n")
+    run.main(["build", "--data", str(tmp_path / "d.parquet"), "-c", str(tmp_path / "c.toml"), "--out", str(tmp_path / "sig")])
+    run.main(["query", "--data", str(tmp_path / "d.parquet"), "--queries", str(tmp_path / "d.parquet"), "-c", str(tmp_path / "c.toml"), "--out", str(tmp_path / "out")])
+    assert '"queries_with_candidates": 20' in capsys.readouterr().out
+    assert {(i, i) for i in range(20)} <= {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert run.list_datasets(tmp_path) == [str(tmp_path / "d.parquet")] and len(list(run.grid(k=[2, 3], l=[8, 16]))) == 4
+
+
+def test_polyline_and_json(spark, tmp_path):
+    line = spark.createDataFrame([(1, [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)])], "id long, pts array<struct<x:double,y:double>>")
+    assert line.select(P.polyline(F.col("pts"))).first()[0] == "_p~iF~ps|U_ulLnnqC_mqNvxq`@"
+    P.write_json(line, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).first().points[1] == [40.7, -120.95]
