@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +44,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A small frame that is read more than once: held by the executors, recomputed where one is lost."""
+    return df.persist()
+
+
+def settled(df: DataFrame, name: str, rows_a_file: int = 500_000) -> DataFrame:
+    """``cut`` for frames of small rows: computed at full width, written in as few files as its size asks for."""
+    held = df.persist()
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/nearpath/{name}-{uuid.uuid4().hex}"
+    held.coalesce(held.count() // rows_a_file + 1).write.parquet(path)
+    held.unpersist()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -57,3 +75,31 @@ def words_of(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words, counted without building them: starts of runs of non-separators."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def release() -> None:
+    """Give freed memory back: a Python worker outlives its task and waits beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(task: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over Arrow batches that gives its memory back at the end."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
+def tidied(table: pa.Table) -> pa.Table:
+    """The result of a group's work, after giving back what the work took."""
+    release()
+    return table

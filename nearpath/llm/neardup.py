@@ -11,10 +11,11 @@ more matches.
 3. The others get the exact document frequency of each shingle.  Shared shingles are ordered by
    frequency, and each document takes the l of least estimated cost: entries to compare plus
    candidates to verify.  Sets with fewer than t shared shingles are out.
-4. Every document is first verified against one hub of its frequent shingles; the links found make
-   components.  Then all pairs of different components that share enough prefix entries are
-   verified.  Pairs within a component are already connected, so a large group of near copies
-   never produces its pairs.
+4. In two rounds, every document is verified against one hub of its frequent shingles, the most
+   central document outside its component; the links found make components.  Then all pairs of
+   different components are verified that share enough entries of the prefixes that the overlap
+   for their two sizes asks for, which are shorter than those for any size.  Pairs within a component are already
+   connected, so a large group of near copies never produces its pairs.
 5. Links are joined to components by alternating large-star and small-star steps.
 
 Defined results: texts without words and null texts have no shingles and link with nothing; fewer
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import cut, documents, shuffle_partitions
+from nearpath.llm.common import cut, documents, settled, shuffle_partitions, tidied, tidy
 from nearpath.llm.substring import _ANSWER, _MARK, _PACKED_SQL, _QUERY, Entries, _bucket, _columns, _runs, _text, pack, stretch_hash
 from nearpath.llm.wordcore import Words, mix, slices
 
@@ -59,6 +60,10 @@ class JoinSetup:
     def least(self, n):
         return (self.num * n + self.den - 1) // self.den
 
+    def overlap(self, n, m):
+        """Shingles that linked sets of these sizes share at least."""
+        return (self.num * (n + m) + self.num + self.den - 1) // (self.num + self.den)
+
     def matches(self, n):
         return 1 + n * self.lead // 100
 
@@ -130,10 +135,20 @@ class SetJoin:
         found = order[repeated]
         ids, tags = np.r_[asked.ids[found], known.ids], np.r_[asked.tags[found], known.tags]
         hits = np.r_[np.ones(len(found), np.int64), known.columns[0].astype(np.int64)]
+        ids, tags, hits = self._summed(ids, tags, hits)
+        cell = (tags % np.uint32(self.cells)).astype(np.int32)
+        return pa.Table.from_batches(list(pack(cell, _ANSWER, np.arange(len(ids)), ids, tags, hits.astype(np.uint32))), schema=pa.schema(_PACKED_ARROW))
+
+    @staticmethod
+    def _summed(ids: np.ndarray, tags: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order, first = _runs(ids, tags)
         at = np.flatnonzero(first)
-        sums = np.add.reduceat(hits[order], at) if len(at) else hits[:0]
-        return pa.table({"doc_id": pa.array(ids[order[at]]), "tag": pa.array(tags[order[at]].astype(np.int64)), "hits": pa.array(sums)})
+        return ids[order[at]], tags[order[at]], np.add.reduceat(hits[order], at) if len(at) else hits[:0]
+
+    def sum_hits(self, table: pa.Table) -> pa.Table:
+        e = Entries(table, _ANSWER, (np.uint32,))
+        ids, tags, hits = self._summed(e.ids, e.tags, e.columns[0].astype(np.int64))
+        return pa.table({"doc_id": pa.array(ids), "tag": pa.array(tags.astype(np.int64)), "hits": pa.array(hits)})
 
     def sets(self, bitmap, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, dtype=np.uint8)
@@ -219,12 +234,14 @@ class SetJoin:
             work = np.r_[0, np.cumsum(df[low:high])]
             ell = np.arange(1, t + 1)
             prefix = np.minimum(np.maximum(n - t + ell - (n - shared), 0), shared)
-            candidates = (work[prefix] - prefix) / ell
-            best = int(np.argmin(work[prefix] + candidates * (n / 16)))
-            rows.append((int(ids[low]), n, best + 1, int(prefix[best]), token[low:high], df[low : low + int(prefix[best])]))
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.table({name: pa.array(list(c), t) for name, c, t in zip(("doc_id", "n", "ell", "prefix", "toks", "dfs"), columns, kinds)})
+            # costs are those of the likeliest partner, one of the same size
+            likely = np.clip(shared - self.setup.overlap(n, n) + ell, 0, shared)
+            candidates = (work[likely] - likely) / ell
+            best = int(np.argmin(work[likely] + candidates * (n / 16)))
+            rows.append((int(ids[low]), n, best + 1, int(prefix[best]), shared, float(work[-1]) / n, token[low:high], df[low : low + int(prefix[best])]))
+        columns = list(zip(*rows)) if rows else [[]] * 8
+        kinds = (*[pa.int64()] * 5, pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.table({name: pa.array(list(c), t) for name, c, t in zip(("doc_id", "n", "ell", "prefix", "shared", "central", "toks", "dfs"), columns, kinds)})
 
     def verify(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         num, den = self.setup.num, self.setup.den
@@ -247,18 +264,20 @@ _PACKED_ARROW = [("bucket", pa.int32()), ("kind", pa.int32()), *[(n, pa.binary()
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
-    """(node, component) of every node with a link (a, b); component is the smallest node."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
+    """(node, component) of every node with a link (a, b); component is the smallest node.
+
+    Each round is written to the shared folder.
+    """
+    edges = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
     signature = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = signature(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        edges = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u")
-        edges = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = cut(edges, name)
+        moved = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = moved.groupBy("u").agg(F.min("v").alias("m"))
+        moved = moved.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        edges = settled(moved, name)
         after = signature(edges)
         if after == before:
             break
@@ -292,19 +311,20 @@ def shingle_links(docs: DataFrame, setup: JoinSetup = JoinSetup(), id_col: str =
     job = SetJoin(setup, n_parts, n_parts)
     tag = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tag)
-    info = cut(rows.mapInArrow(job.info, "doc_id long, tag long, n long, fp1 long, fp2 long"), "near-info")
+    info = cut(rows.mapInArrow(tidy(job.info), "doc_id long, tag long, n long, fp1 long, fp2 long"), "near-info")
     usable = info.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = cut(usable.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "tag")).alias("rep"), F.count("*").alias("copies")).select("fp1", "fp2", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.tag").alias("rep_tag"), "copies"), "near-classes")
+    classes = settled(usable.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "tag")).alias("rep"), F.count("*").alias("copies")).select("fp1", "fp2", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.tag").alias("rep_tag"), "copies"), "near-classes")
 
-    packed = rows.filter("doc_id IS NOT NULL").mapInArrow(job.prefixes, _PACKED_SQL)
-    hits = packed.groupBy("bucket").applyInArrow(lambda t: job.join_prefixes(t), "doc_id long, tag long, hits long").groupBy("doc_id", "tag").agg(F.sum("hits").alias("hits"))
+    packed = rows.filter("doc_id IS NOT NULL").mapInArrow(tidy(job.prefixes), _PACKED_SQL)
+    found = packed.groupBy("bucket").applyInArrow(lambda t: tidied(job.join_prefixes(t)), _PACKED_SQL)
+    hits = found.groupBy("bucket").applyInArrow(lambda t: tidied(job.sum_hits(t)), "doc_id long, tag long, hits long")
     need = F.expr(f"1 + (({setup.num} * n + {setup.den - 1}) div {setup.den}) * {setup.lead} div 100")
-    passing = cut(hits.join(classes, (F.col("doc_id") == F.col("rep")) & (F.col("tag") == F.col("rep_tag"))).filter(F.col("hits") >= need).select("doc_id", "tag", "n"), "near-passing")
+    passing = settled(hits.join(classes, (F.col("doc_id") == F.col("rep")) & (F.col("tag") == F.col("rep_tag"))).filter(F.col("hits") >= need).select("doc_id", "tag", "n"), "near-passing")
     count, tokens = passing.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = min(setup.bitmap_bits, max(1 << 18, 1 << int(64 * count).bit_length()))
     slot = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(bits)).alias("slot")
     bitmap = spark.sparkContext.broadcast(_bitmap(passing.select(slot), bits))
-    few = rows.filter("doc_id IS NOT NULL").select("doc_id", "text", "tag", slot).mapInArrow(lambda b: job.sets(bitmap, b), "doc_id long, tag long, toks array<bigint>")
+    few = rows.filter("doc_id IS NOT NULL").select("doc_id", "text", "tag", slot).mapInArrow(tidy(lambda b: job.sets(bitmap, b)), "doc_id long, tag long, toks array<bigint>")
     if count > bits // 8:  # too many for the bitmap to tell apart
         few = few.join(passing.select("doc_id", "tag"), ["doc_id", "tag"], "left_semi")
     sets = cut(few, "near-sets")
@@ -312,43 +332,61 @@ def shingle_links(docs: DataFrame, setup: JoinSetup = JoinSetup(), id_col: str =
     parts = max(1, sets.rdd.getNumPartitions())
     heavy_df = max(256, 4 * parts, 2 * tokens // setup.heavy_tokens)
     local = max(2, heavy_df // (2 * parts))
-    heavy = sets.mapInArrow(lambda b: job.local_counts(local, b), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= heavy_df // 2).toPandas()
+    heavy = sets.mapInArrow(tidy(lambda b: job.local_counts(local, b)), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= heavy_df // 2).toPandas()
     order = np.argsort(heavy["token"].to_numpy().astype(np.int64).view(_U)) if len(heavy) else np.zeros(0, np.int64)
     listed = (heavy["token"].to_numpy().astype(np.int64).view(_U)[order], heavy["df"].to_numpy().astype(np.int64)[order] + heavy_df)
     held = spark.sparkContext.broadcast(listed)
-    entries = sets.mapInArrow(lambda b: job.entries(held, b), _PACKED_SQL)
-    answers = entries.groupBy("bucket").applyInArrow(lambda t: job.frequencies(t), _PACKED_SQL)
-    chosen = cut(answers.groupBy("bucket").applyInArrow(lambda t: job.choose(t), "doc_id long, n long, ell long, prefix long, toks array<bigint>, dfs array<bigint>"), "near-chosen")
+    entries = sets.mapInArrow(tidy(lambda b: job.entries(held, b)), _PACKED_SQL)
+    answers = entries.groupBy("bucket").applyInArrow(lambda t: tidied(job.frequencies(t)), _PACKED_SQL)
+    chosen = cut(answers.groupBy("bucket").applyInArrow(lambda t: tidied(job.choose(t)), "doc_id long, n long, ell long, prefix long, shared long, central double, toks array<bigint>, dfs array<bigint>"), "near-chosen")
 
     zipped = F.arrays_zip(F.slice("toks", 1, F.col("prefix").cast("int")).alias("token"), F.col("dfs").alias("df"))
-    posts = cut(chosen.filter("prefix > 0").select("doc_id", "n", "ell", F.explode(zipped).alias("z")).select("doc_id", "n", "ell", "z.token", "z.df"), "near-posts")
+    plain = ("doc_id", "n", "ell", "shared", "central")
+    posts = chosen.filter("prefix > 0").select(*plain, F.posexplode(zipped).alias("i", "z")).select(*plain, "z.token", "z.df", (F.col("n") - F.col("shared") + F.col("i")).alias("place"))
 
-    def fits(a: str, b: str) -> F.Column:
-        return (setup.den * F.col(a) >= setup.num * F.col(b)) & (setup.den * F.col(b) >= setup.num * F.col(a))
+    def fits(x: str, y: str) -> F.Column:
+        """Sizes n and numbers of shared shingles that allow a link."""
+        least = F.least(F.col(x + "shared"), F.col(y + "shared"))
+        return (setup.num + setup.den) * least >= setup.num * (F.col(x + "n") + F.col(y + "n"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = chosen.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
         right = chosen.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(job.verify, "a long, b long")
-
-    often = posts.filter(F.col("df") > setup.star_over)
-    hubs = often.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("h")).select("token", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n"))
-    stars = often.join(hubs, "token").filter("hub <> doc_id").filter(fits("n", "hub_n")).groupBy("hub", "doc_id").count()
-    stars = stars.groupBy("doc_id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-    first = cut(verified(stars), "near-stars")
-    parts_of = components(first, "near-first")
-
-    own = posts.join(parts_of, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", "ell", F.coalesce("component", "doc_id").alias("comp"))
-    own = cut(own, "near-own")
-    mixed = own.groupBy("token").agg(F.min(F.struct("doc_id", "comp")).alias("h"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token", F.col("h.comp").alias("main"))
-    members = own.join(mixed, "token")
-    x = members.filter("comp <> main").select("token", F.col("doc_id").alias("xd"), F.col("n").alias("xn"), F.col("ell").alias("xl"), F.col("comp").alias("xc"))
-    y = members.select("token", F.col("doc_id").alias("yd"), F.col("n").alias("yn"), F.col("ell").alias("yl"), F.col("comp").alias("yc"), "main")
-    on = [x["token"] == y["token"], F.col("xc") != F.col("yc"), (F.col("yc") == F.col("main")) | (F.col("xd") < F.col("yd")), fits("xn", "yn")]
-    met = x.join(y, on).select(F.least("xd", "yd").alias("a"), F.greatest("xd", "yd").alias("b"), F.least("xl", "yl").alias("ell"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(tidy(job.verify), "a long, b long")
+
+    def labelled(links: DataFrame, name: str) -> DataFrame:
+        found = components(links, name)
+        return settled(posts.join(found, F.col("doc_id") == F.col("node"), "left").select(*plain, "token", "df", "place", F.coalesce("component", "doc_id").alias("comp")), name)
+
+    def stars(own: DataFrame) -> DataFrame:
+        """One pair a document: itself and the hub that it shares the most frequent shingles with."""
+        often = own.filter(F.col("df") > setup.star_over)
+        hubs = often.groupBy("token").agg(F.max(F.struct("central", "doc_id", "n", "shared", "comp")).alias("h"))
+        hubs = hubs.select("token", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hn"), F.col("h.shared").alias("hshared"), F.col("h.comp").alias("hcomp"))
+        met = often.join(hubs, "token").filter("comp <> hcomp").filter(fits("", "h")).groupBy("hub", "doc_id").count()
+        return met.groupBy("doc_id").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+
+    def mixed_runs(own: DataFrame) -> DataFrame:
+        """Entries of shingles that more than one component holds, and the main component of each."""
+        runs = own.groupBy("token").agg(F.max(F.struct("central", "doc_id", "comp")).alias("h"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        return own.join(runs.filter("low <> high").select("token", F.col("h.comp").alias("main")), "token")
+
+    links = settled(verified(stars(posts.withColumn("comp", F.col("doc_id")))), "near-stars")
+    own = labelled(links, "near-first")
+    links = links.union(settled(verified(stars(mixed_runs(own).filter("comp <> main"))), "near-stars"))
+    own = labelled(links, "near-second")
+
+    # with the overlap that the two sizes ask for, only entries this early count
+    overlap = f"(({setup.num} * (xn + yn) + {setup.num + setup.den - 1}) div {setup.num + setup.den})"
+    in_reach = F.expr(f"xplace < xn - {overlap} + least(xell, yell) AND yplace < yn - {overlap} + least(xell, yell)")
+    members = mixed_runs(own)
+    as_side = lambda df, side: df.select("token", "main", *[F.col(c).alias(side + c) for c in ("doc_id", "n", "ell", "shared", "comp", "place")])
+    x, y = as_side(members.filter("comp <> main"), "x").drop("main"), as_side(members, "y")
+    on = [x["token"] == y["token"], F.col("xcomp") != F.col("ycomp"), (F.col("ycomp") == F.col("main")) | (F.col("xdoc_id") < F.col("ydoc_id")), fits("x", "y"), in_reach]
+    met = x.join(y, on).select(F.least("xdoc_id", "ydoc_id").alias("a"), F.greatest("xdoc_id", "ydoc_id").alias("b"), F.least("xell", "yell").alias("ell"))
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("ell")).filter("shared >= ell").select("a", "b")
-    second = cut(verified(pairs), "near-pairs")
-    return info, classes, first.union(second)
+    second = settled(verified(pairs), "near-pairs")
+    return info, classes, links.union(second)
 
 
 def near_groups(docs: DataFrame, setup: JoinSetup = JoinSetup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
