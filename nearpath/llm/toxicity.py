@@ -20,13 +20,14 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import documents, labels
+from nearpath.llm.common import documents, labels, tidy
 from nearpath.llm.wordcore import NOT_WORD, Words, slices
 
 _U = np.uint64
@@ -36,8 +37,8 @@ _U = np.uint64
 class FitSetup:
     """Bounds of the training sample and sizes of the network."""
 
-    toxic_rows: int = 900
-    clean_rows: int = 2500
+    toxic_rows: int = 800
+    clean_rows: int = 2000
     train_chars: int = 4_000
     max_windows: int = 10
     window: int = 64
@@ -86,13 +87,32 @@ class Vocabulary:
 
     def __init__(self, offsets: np.ndarray, raw: np.ndarray, setup: FitSetup):
         self.words = w = Words(raw, offsets, lower=True, separators=NOT_WORD)
-        distinct, first, self.at = np.unique(w.hash, return_index=True, return_inverse=True)
+        self.distinct, first, self.at = np.unique(w.hash, return_index=True, return_inverse=True)
+        distinct = self.distinct
         self.word_slot = (distinct >> _U(33)).astype(np.int64) % setup.word_slots
         who, slot = char_features(w, first, setup.char_slots)
         order = np.argsort(who, kind="stable")
         self.char_slot = slot[order].astype(np.int32)
         self.edge = np.r_[0, np.cumsum(np.bincount(who, minlength=len(distinct)))]
 
+    @classmethod
+    def of_texts(cls, texts: list[str], setup: FitSetup) -> Vocabulary:
+        """One vocabulary over many texts, put together slice by slice."""
+        parts = [cls(offsets, raw, setup) for _, _, offsets, raw in slices(pa.array(texts, pa.string()))]
+        out = cls.__new__(cls)
+        out.distinct, first, where = np.unique(np.concatenate([p.distinct for p in parts]), return_index=True, return_inverse=True)
+        base = np.r_[0, np.cumsum([len(p.distinct) for p in parts])]
+        out.at = np.concatenate([where[b + p.at] for p, b in zip(parts, base)])
+        out.word_slot = np.concatenate([p.word_slot for p in parts])[first]
+        n = np.concatenate([np.diff(p.edge) for p in parts])
+        start = np.r_[0, np.cumsum(n)[:-1]][first]
+        n = n[first]
+        out.edge = np.r_[0, np.cumsum(n)]
+        out.char_slot = np.concatenate([p.char_slot for p in parts])[np.repeat(start - out.edge[:-1], n) + np.arange(out.edge[-1])]
+        count = np.concatenate([p.words.count for p in parts])
+        out.words = SimpleNamespace(count=count, first=np.r_[0, np.cumsum(count)], doc=np.repeat(np.arange(len(count)), count))
+        return out
+
     def chars(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Character slots of the words, one after the other, and how many each has."""
         n = self.edge[words + 1] - self.edge[words]
@@ -233,11 +253,11 @@ class Model:
         table = np.concatenate([v.inputs(self.params), np.zeros((1, s.embed), np.float32)])
         step = np.arange(s.window)[:, None]
         best = np.full(len(out), -np.inf)
-        for a in range(0, len(doc), 4096):
-            f, n = first[a : a + 4096], length[a : a + 4096]
+        for a in range(0, len(doc), 2048):
+            f, n = first[a : a + 2048], length[a : a + 2048]
             inside = step < n
             at = np.where(inside, v.at[np.minimum(f + step, len(v.at) - 1)], len(table) - 1)
-            np.maximum.at(best, doc[a : a + 4096], net.logits(at, inside.astype(np.float32), table))
+            np.maximum.at(best, doc[a : a + 2048], net.logits(at, inside.astype(np.float32), table))
         some = best > -np.inf
         out[some] = 1 / (1 + np.exp(-np.clip(best[some] - self.shift, -60, 60)))
         return out
@@ -249,10 +269,7 @@ def train(texts: list[str], toxic: list[int], setup: FitSetup = FitSetup()) -> M
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     s, rng = setup, np.random.default_rng(setup.seed)
-    encoded = [t.encode() for t in texts]
-    offsets = np.zeros(len(texts) + 1, dtype=np.int64)
-    np.cumsum([len(b) for b in encoded], out=offsets[1:])
-    v = Vocabulary(offsets, np.frombuffer(b"".join(encoded), dtype=np.uint8), s)
+    v = Vocabulary.of_texts(texts, s)
     net = Network.fresh(s)
     p = net.p
     # features of too few documents stay silent
@@ -299,7 +316,7 @@ def train(texts: list[str], toxic: list[int], setup: FitSetup = FitSetup()) -> M
 
     def scores():
         table = table_of()
-        return np.concatenate([net.logits(*batch_of(np.arange(a, min(a + 4096, len(doc)))), table) for a in range(0, len(doc), 4096)])
+        return np.concatenate([net.logits(*batch_of(np.arange(a, min(a + 1024, len(doc)))), table) for a in range(0, len(doc), 1024)])
 
     # small samples take more, smaller steps
     size = int(np.clip(learn.sum() // 12, 64, s.batch))
@@ -377,6 +394,7 @@ def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
         return rows.select("doc_id", F.lit(0.0).alias("score"))
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(held.value)
         for batch in batches:
