@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpath.llm import lexicon
-from nearpath.llm.common import documents
+from nearpath.llm.common import documents, kept, tidy
 
 #: Most frequent words of the corpus that are compiled; bounds the broadcast.
 LEXICON_WORDS = 50_000
 #: Words remembered by a worker in front of the automaton, in two generations.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 
 #: Letters below U+02B0.  Texts that hold nothing but these, digits, printable ASCII, Latin-1 signs
 #: and plain white space are split by ``re``; others by the tokenizer file's own splitter.
@@ -162,10 +162,24 @@ class WordBpe:
 
 
 def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS, text_col: str = "text") -> list[str]:
-    """The n most frequent lower-case letter runs over all documents."""
+    """The n most frequent lower-case letter runs over all documents.
+
+    A histogram of the counts by powers of two finds a bound that at least n words reach; only
+    those words are sorted and sent to the driver, in whichever number of tasks.
+    """
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("w")).filter("w <> ''")
-    counts = words.groupBy("w").count()
-    return [r[0] for r in counts.orderBy(F.desc("count"), "w").limit(n).select("w").collect()]
+    counts = kept(words.groupBy("w").count().filter("count > 1"))
+    sizes = dict(counts.groupBy(F.floor(F.log2("count")).alias("power")).count().collect())
+    least, held = 0, 0
+    for power in sorted(sizes, reverse=True):
+        least, held = power, held + sizes[power]
+        if held >= n:
+            break
+    # the last power may hold far more words than are wanted: ties beyond the limit go by the word
+    rows = counts.filter(F.col("count") >= 2**least).orderBy(F.desc("count"), "w").limit(n).select("w")
+    found = [r[0] for r in rows.collect()]
+    counts.unpersist()
+    return found
 
 
 def compile_lexicon(words: list[str], path: str) -> bytes:
@@ -207,6 +221,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     """id and ``ids``, the array of token ids."""
     make = encoder(docs, path, text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = make()
         for batch in batches:
@@ -225,6 +240,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     """Encode every text and decode its ids again: id, n_tokens and digests of both."""
     make = encoder(docs, path, text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = make()
         names = list(map(str, range(len(tok.tokens))))
