@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import SPACES, documents
+from nearpath.llm.common import SPACES, documents, tidy
 
 #: Bytes of trie (labels plus a fixed charge a node) before a subtree is spilled.
 SCAN_BYTES = 48 << 20
@@ -206,8 +206,8 @@ def text_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     norm = normal_text(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("rows"), F.xxhash64(norm).alias("h"), norm.cast("binary").alias("norm"))
     kind = "keep_id long, rows long, h long, norm binary"
-    partial = rows.mapInArrow(combine_copies, kind)
-    owners = partial.repartition(F.octet_length("norm"), F.col("h")).mapInArrow(own_texts, kind)
+    partial = rows.mapInArrow(tidy(combine_copies), kind)
+    owners = partial.repartition(F.octet_length("norm"), F.col("h")).mapInArrow(tidy(own_texts), kind)
     return owners.select(F.unhex(F.sha2("norm", 256)).alias("digest"), "keep_id", F.col("rows").alias("group_size"))
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import documents
+from nearpath.llm.common import documents, tidy
 
 UNDETERMINED = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -90,6 +90,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], setup: Setup = Setup(), i
     """doc_id, lang_pred, score, rejected."""
     frozen, level, margin = tuple(sorted(model.items())), setup.level, setup.margin_bits
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = _compressors(frozen, level)
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import WORD, cut, documents, word_count
+from nearpath.llm.common import WORD, cut, documents, kept, word_count
 
 _SPAN = 1 << 32
 #: Fixed value: 2**32 divided by the golden ratio, odd.
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), **columns: str) -> DataFrame
     n_slots = int(-(-total // block) * (1 + plan.slack)) + 64
     if n_slots >= 1 << 31:
         raise ValueError("at most 2**31 slots: the 32-bit points would repeat")
-    per_source = cut(targets(sizes, plan), "mix-targets")
+    per_source = kept(targets(sizes, plan))
     digits = max(1, (max(1, n_docs // 500).bit_length() + 3) // 4)
     rows = sizes.withColumn("key", F.md5(F.concat(F.lit(plan.seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
     rows = rows.withColumn("chunk", F.substring("key", 1, digits))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import documents, shuffle_partitions
+from nearpath.llm.common import documents, shuffle_partitions, tidied, tidy
 from nearpath.llm.wordcore import Words, _inverse, mix, powers, slices, window_hash
 
 SPAN = 35
@@ -320,10 +320,10 @@ def _answered(docs: DataFrame, span: int, kmer: int, id_col: str, text_col: str)
     key = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(0xFFFFFFFF))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("tag")).withColumn("cell", (F.col("tag") % job.cells).cast("int"))
     by_cell = lambda df: df.withColumnRenamed("bucket", "cell").groupBy("cell")
-    nodes = rows.select("doc_id", "text", "tag").mapInArrow(job.nodes, _PACKED_SQL)
-    marks = nodes.groupBy("bucket").applyInArrow(lambda t: job.join_nodes(t), _PACKED_SQL)
-    windows = rows.groupBy("cell").cogroup(by_cell(marks)).applyInArrow(lambda a, b: job.windows(a, b), _PACKED_SQL)
-    spans = windows.groupBy("bucket").applyInArrow(lambda t: job.join_windows(t), _PACKED_SQL)
+    nodes = rows.select("doc_id", "text", "tag").mapInArrow(tidy(job.nodes), _PACKED_SQL)
+    marks = nodes.groupBy("bucket").applyInArrow(lambda t: tidied(job.join_nodes(t)), _PACKED_SQL)
+    windows = rows.groupBy("cell").cogroup(by_cell(marks)).applyInArrow(lambda a, b: tidied(job.windows(a, b)), _PACKED_SQL)
+    spans = windows.groupBy("bucket").applyInArrow(lambda t: tidied(job.join_windows(t)), _PACKED_SQL)
     return job, rows.groupBy("cell").cogroup(by_cell(spans))
 
 

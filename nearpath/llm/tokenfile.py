@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearpath.llm.bpe import LATIN, PLAIN, Memo, byte_characters, default_path
-from nearpath.llm.common import documents, shared_dir, shuffle_partitions
+from nearpath.llm.common import documents, shared_dir, shuffle_partitions, tidy
 
 #: Ids of a segment after which the next document starts a new one.
 SEGMENT_IDS = 1 << 20
@@ -177,6 +177,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
     """Encode all documents and write them, in ascending id order, as a table of segments."""
     path = path or default_path("byte_bpe_50k.json")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = _encoder(path), TaskContext.get().partitionId()
         end = np.asarray([end_id], dtype=enc.type).tobytes()
@@ -218,6 +219,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     bases = own.join(parts, F.col("part") == F.col("p")).select(F.col("part").alias("p"), F.col("seg").alias("g"), (F.col("before") + F.col("own")).alias("base"))
     rows = segments.select("part", "seg", "block").join(bases, (F.col("part") == F.col("p")) & (F.col("seg") == F.col("g"))).select("base", "block")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, block in zip(batch.column(0).to_pylist(), batch.column(1)):
