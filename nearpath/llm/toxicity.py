@@ -152,7 +152,7 @@ class Network:
         self.p, self.s = params, setup
 
     @classmethod
-    def fresh(cls, setup: FitSetup) -> Network:
+    def initial(cls, setup: FitSetup) -> Network:
         rng = np.random.default_rng(setup.seed)
         e, h, a = setup.embed, setup.hidden, setup.attend
         r = lambda *n, scale=0.3: rng.normal(0, scale, n).astype(np.float32)
@@ -270,7 +270,7 @@ def train(texts: list[str], toxic: list[int], setup: FitSetup = FitSetup()) -> M
         return None
     s, rng = setup, np.random.default_rng(setup.seed)
     v = Vocabulary.of_texts(texts, s)
-    net = Network.fresh(s)
+    net = Network.initial(s)
     p = net.p
     # features of too few documents stay silent
     doc_of = v.words.doc

@@ -347,7 +347,7 @@ def test_toxicity(spark):
 
 def test_toxicity_gradients():
     setup = toxicity.FitSetup(embed=3, hidden=2, attend=2, word_slots=16, char_slots=16)
-    net = toxicity.Network.fresh(setup)
+    net = toxicity.Network.initial(setup)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     rng = np.random.default_rng(0)
     table, at, mask = rng.normal(size=(7, 3)), rng.integers(0, 6, (5, 4)), np.ones((5, 4))
