@@ -17,6 +17,7 @@ without labelled rows of both classes every score is 0; an empty table gives no
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import documents, labels, tidy
+from nearpath.llm.common import documents, labels, release, tidy
 from nearpath.llm.wordcore import NOT_WORD, Words, slices
 
 _U = np.uint64
@@ -410,7 +411,10 @@ def held_out(id_col: F.Column) -> F.Column:
 
 def fit(docs: DataFrame, marks: DataFrame, setup: FitSetup = FitSetup()) -> Model | None:
     """The contract's training rows: those that are not held out."""
-    return train(*sample(docs, marks.filter(~held_out(F.col("doc_id"))), setup), setup)
+    model = train(*sample(docs, marks.filter(~held_out(F.col("doc_id"))), setup), setup)
+    gc.collect()
+    release()  # the driver goes on with other work
+    return model
 
 
 def drop_toxic(docs: DataFrame, marks: DataFrame) -> DataFrame:
