@@ -5,8 +5,9 @@ prefixes, suffixes and 4-grams, hashed).  Two GRUs read a window in both directi
 pools their states and the inputs, and a logistic unit scores the window.  A document's score is
 that of its worst window; windows overlap and cover the whole text.
 
-Training takes a bounded sample of labelled rows (``FitSetup``).  A toxic document need not be toxic
-in each window, so after the first epochs only its highest windows count as toxic (multiple-instance
+Training takes a sample of labelled rows (bounded in rows by ``FitSetup``) and, like scoring, all
+windows of their whole texts; so does the choice of the cut between the classes.  A toxic document
+need not be toxic in each window, so after the first epochs only its highest windows count as toxic (multiple-instance
 learning), and clean documents are shown by their highest windows and a few others.  Only
 features that toxic documents hold significantly more often (a two-sample z of ``least_z``) are learned.  A share of the sample is kept out of training to choose the
 cut between the classes.
@@ -36,12 +37,10 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class FitSetup:
-    """Bounds of the training sample and sizes of the network."""
+    """Bounds of the training sample, in rows, and sizes of the network."""
 
     toxic_rows: int = 800
     clean_rows: int = 2000
-    train_chars: int = 4_000
-    max_windows: int = 10
     window: int = 64
     stride: int = 48
     embed: int = 12
@@ -297,9 +296,6 @@ def train(texts: list[str], toxic: list[int], setup: FitSetup = FitSetup()) -> M
         p[k] *= m
 
     doc, first, length = all_windows(v.words, s)
-    nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    use = np.flatnonzero(nth < s.max_windows)
-    doc, first, length = doc[use], first[use], length[use]
     label = toxic[doc]
     learn = ~kept_out[doc]
     weight = learn.astype(np.float32)
@@ -379,10 +375,10 @@ def train(texts: list[str], toxic: list[int], setup: FitSetup = FitSetup()) -> M
 
 
 def sample(docs: DataFrame, marks: DataFrame, setup: FitSetup = FitSetup()) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled texts, in the order of a hash of their ids."""
+    """A sample of labelled rows, bounded in rows only; whole texts, in the order of a hash of their ids."""
     usable = marks.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic", F.xxhash64("doc_id", F.lit(setup.seed)).alias("draw"))
     few = usable.filter("toxic = 1").orderBy("draw").limit(setup.toxic_rows).union(usable.filter("toxic = 0").orderBy("draw").limit(setup.clean_rows))
-    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id"), F.substring("text", 1, setup.train_chars).alias("text"))
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
     rows = texts.join(F.broadcast(few), "doc_id").select("draw", "toxic", "text").collect()
     rows.sort(key=lambda r: (r.draw, r.toxic, r.text))
     return [r.text for r in rows], [r.toxic for r in rows]

@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nearpath.llm import bpe, exactdedup, langid, lexicon, mixing, neardup, pii, quality, substring, tokenfile, toxicity
+from nearpath.llm import bpe, exactdedup, langid, lexicon, mixing, neardup, pii, quality, substring, tokenfile, toxicity, wordcore
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, tag long, digest string"
 WORDS = "the of and le la und der que house river stone light table green mountain window".split()
@@ -345,6 +345,23 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_trains_on_whole_texts(spark):
+    rng = random.Random(8)
+    say = lambda n: [rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(n)]
+    texts, marks = [], []
+    for i in range(120):
+        w, bad = say(rng.randint(1100, 1300)), i % 3 == 0
+        if bad:  # only after the first thousand words
+            w[rng.randint(1000, len(w) - 1)] = "vilest"
+        texts.append(" ".join(w))
+        marks.append(int(bad))
+    docs, labels = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+    assert sorted(toxicity.sample(docs, labels)[0]) == sorted(texts)
+    model = toxicity.train(texts[:90], marks[:90], toxicity.FitSetup(updates=60))
+    offsets, raw = wordcore.text_buffers(toxicity.pa.array(texts[90:]))
+    assert ((model.score(offsets, raw) >= 0.5) == np.array(marks[90:])).all()
+
+
 def test_toxicity_gradients():
     setup = toxicity.FitSetup(embed=3, hidden=2, attend=2, word_slots=16, char_slots=16)
     net = toxicity.Network.initial(setup)
