@@ -8,9 +8,10 @@ that of its worst window; windows overlap and cover the whole text.
 Training takes a sample of labelled rows (bounded in rows by ``FitSetup``) and, like scoring, all
 windows of their whole texts; so does the choice of the cut between the classes.  A toxic document
 need not be toxic in each window, so after the first epochs only its highest windows count as toxic (multiple-instance
-learning), and clean documents are shown by their highest windows and a few others.  Only
-features that toxic documents hold significantly more often (a two-sample z of ``least_z``) are learned.  A share of the sample is kept out of training to choose the
-cut between the classes.
+learning), and clean documents are shown by their highest windows and a few others.
+Features are learned if they tell the classes apart in either direction (a two-sample z of ``least_z``
+or more); those of ``prior_z`` start with a sign.  A share of the sample is kept out of training to
+choose the cut between the classes.
 
 Defined results: texts without a letter or digit, and null texts, score 0; rows are judged alone;
 without labelled rows of both classes every score is 0; an empty table gives no rows.
@@ -48,7 +49,8 @@ class FitSetup:
     attend: int = 8
     word_slots: int = 1 << 15
     char_slots: int = 1 << 15
-    least_z: float = 4.5
+    least_z: float = 3.0
+    prior_z: float = 4.5
     check_share: float = 0.2
     epochs: int = 6
     updates: int = 200
@@ -272,7 +274,7 @@ def train(texts: list[str], toxic: list[int], setup: FitSetup = FitSetup()) -> M
     v = Vocabulary.of_texts(texts, s)
     net = Network.initial(s)
     p = net.p
-    # features of too few documents stay silent
+    # features of too few documents, or of both classes alike, stay silent
     doc_of = v.words.doc
     pairs = np.unique(doc_of * len(v.word_slot) + v.at)
     seen_doc, seen_word = pairs // len(v.word_slot), pairs % len(v.word_slot)
@@ -290,8 +292,8 @@ def train(texts: list[str], toxic: list[int], setup: FitSetup = FitSetup()) -> M
         clean, bad = clean[:slots], bad[:slots]
         share = np.clip((clean + bad) / sum(sizes), 1e-9, 1 - 1e-9)
         z = (bad / sizes[1] - clean / sizes[0]) / np.sqrt(share * (1 - share) * (1 / sizes[0] + 1 / sizes[1]))
-        live[k] = ((z >= s.least_z) & (bad >= 3))[:, None]
-        p[k][:, 0] += np.clip((z - s.least_z) / 4, 0, 2).astype(np.float32)
+        live[k] = ((np.abs(z) >= s.least_z) & (clean + bad >= 3))[:, None]
+        p[k][:, 0] += (np.sign(z) * np.clip((np.abs(z) - s.prior_z) / 4, 0, 2)).astype(np.float32)
     for k, m in live.items():
         p[k] *= m
 

@@ -362,6 +362,23 @@ def test_toxicity_trains_on_whole_texts(spark):
     assert ((model.score(offsets, raw) >= 0.5) == np.array(marks[90:])).all()
 
 
+def test_toxicity_learns_rarer_words():
+    rng = random.Random(9)
+    say = lambda n: [rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(n)]
+    rare = ["".join(rng.choices("bcdfghjkmpqvwxyz", k=7)) for _ in range(12)]
+    texts, marks = [], []
+    for i in range(12 * 8 * 4):
+        w, bad = say(rng.randint(20, 50)), i % 4 == 0
+        if bad:  # each word in eight toxic texts
+            w[rng.randrange(len(w))] = rare[i // 4 % 12]
+        texts.append(" ".join(w))
+        marks.append(int(bad))
+    model = toxicity.train(texts, marks)
+    asked = [" ".join([*say(15), w, *say(15)]) for w in rare] + [" ".join(say(30)) for _ in range(40)]
+    got = model.score(*wordcore.text_buffers(toxicity.pa.array(asked))) >= 0.5
+    assert got[:12].sum() >= 11 and got[12:].sum() <= 2
+
+
 def test_toxicity_gradients():
     setup = toxicity.FitSetup(embed=3, hidden=2, attend=2, word_slots=16, char_slots=16)
     net = toxicity.Network.initial(setup)
