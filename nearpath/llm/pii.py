@@ -1,14 +1,15 @@
 """PII by patterns and information-theoretic sanitisation; DataFrame functions only.
 
-Pattern spans (email, ip, card, phone) are the protected entities.  A term near an entity reveals it
-as far as the corpus ties the two together: with document counts, ``PMI(t; e) / IC(e)`` is 1 when the
+Pattern spans (email, ip, card, phone) are the protected entities.  A term (run of letters) in a text
+with an entity reveals it as far as the corpus ties the two together: with document counts, ``PMI(t; e) / IC(e)`` is 1 when the
 term only occurs with the entity and falls as it occurs elsewhere,
 
     disclosure(t, e) = 1 - log2(n_t / n_te) / log2(N / n_e)
 
-where N counts documents, n_e those with the entity, n_t those with the term and n_te the distinct
-contexts (runs of characters on the entity's two sides) that hold the term.  Terms over the
-threshold become spans of kind ``term``: removed where the disclosure is (nearly) full, otherwise
+where N counts documents (rows), n_e those with the entity, n_t those with the term and n_te those
+with both, wherever they stand in the whole text; a term that only stands inside an email is part of
+that entity.  Terms over the threshold become spans of kind ``term`` at each of their places in the
+documents of the entity: removed where the disclosure is (nearly) full, otherwise
 generalised to a placeholder.
 
 Offsets are code points.  They come from the lengths of the pieces between matches, so a text is
@@ -39,19 +40,19 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _SPANS = "array<struct<value:string,start:int,end:int>>"
+_TERM_SPANS = "array<struct<start:int,end:int,disclosure:double>>"
+_TERM = r"\p{L}++"
 _SIGNS = {"email": "@", "ip": ".", "phone": "+"}
 
 
 @dataclass(frozen=True)
 class Sanitiser:
-    """``reach``: characters on each side of an entity; ``threshold``: disclosure from which a term is
-    generalised; ``full``: from which it is removed; ``contexts``: least distinct contexts."""
+    """``threshold``: disclosure from which a term is generalised; ``full``: from which it is removed;
+    ``contexts``: least number of different texts that hold term and entity."""
 
-    reach: int = 60
     threshold: float = 0.8
     full: float = 0.999
     contexts: int = 2
-    letters: int = 4
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -100,46 +101,36 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(found, _VALID[kind]) if _VALID[kind] else found
 
 
-def entities(docs: DataFrame, setup: Sanitiser = Sanitiser(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, mark (hash of id and text), one array of spans a kind, and the contexts of each span."""
+def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, mark (hash of id and text), one array of spans a kind, the different entities, and the
+    text of rows that have any."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("mark"))
     rows = rows.select("doc_id", "mark", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
 
-    def context(kind: str, s: Column) -> Column:
-        low = F.greatest(s["start"] - setup.reach, F.lit(0))
-        return F.struct(
-            F.concat(F.lit(kind + ":"), F.lower(s["value"]) if kind == "email" else _digits(s["value"]) if kind != "ip" else s["value"]).alias("entity"),
-            low.alias("low"), F.col("text").substr(low + 1, s["start"] - low).alias("before"),
-            s["end"].alias("end"), F.col("text").substr(s["end"] + 1, F.lit(setup.reach)).alias("after"),
-        )
-
-    per_kind = lambda k: F.transform(F.col(k), lambda s: context(k, s))
-    contexts = F.concat(*map(per_kind, KINDS))
-    return rows.select("doc_id", "mark", *KINDS, contexts.alias("contexts"))
-
-
-def context_terms(found: DataFrame, setup: Sanitiser = Sanitiser()) -> DataFrame:
-    """doc_id, mark, entity, context, term, start, end of the whole words around every entity."""
-    c = found.select("doc_id", "mark", F.explode("contexts").alias("c")).select("doc_id", "mark", "c.*")
-    c = c.withColumn("context", F.xxhash64("before", "after"))
-    # a word cut by the window's edge is left out, unless the text begins or ends there
-    before = F.when(F.col("low") > 0, F.regexp_replace("before", r"^\p{L}+", "")).otherwise(F.col("before"))
-    after = F.when(F.length("after") >= setup.reach, F.regexp_replace("after", r"\p{L}+$", "")).otherwise(F.col("after"))
-    c = c.withColumns({"b": before, "a": after}).withColumn("from", F.col("low") + F.length("before") - F.length("b"))
-    word = rf"(?<!\p{{L}})\p{{L}}{{{setup.letters},}}+"
-    side = lambda text, base: F.transform(_found(text, word), lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + base).alias("start"), (w["end"] + base).alias("end")))
-    words = F.concat(side(F.col("b"), F.col("from")), side(F.col("a"), F.col("end")))
-    c = c.select("doc_id", "mark", "entity", "context", F.explode(words).alias("w"))
-    return c.select("doc_id", "mark", "entity", "context", "w.term", "w.start", "w.end")
-
-
-def disclosures(docs: DataFrame, terms: DataFrame, found: DataFrame, setup: Sanitiser = Sanitiser(), text_col: str = "text") -> DataFrame:
+    def named(kind: str, s: Column) -> Column:
+        return F.concat(F.lit(kind + ":"), F.lower(s["value"]) if kind == "email" else _digits(s["value"]) if kind != "ip" else s["value"])
+
+    per_kind = lambda k: F.transform(F.col(k), lambda s: named(k, s))
+    rows = rows.withColumn("entities", F.array_distinct(F.concat(*map(per_kind, KINDS))))
+    return rows.withColumn("text", F.when(F.size("entities") > 0, F.col("text")))
+
+
+def _terms(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
+
+
+def disclosures(docs: DataFrame, found: DataFrame, setup: Sanitiser = Sanitiser(), text_col: str = "text") -> DataFrame:
     """entity, term, disclosure of the pairs over the threshold, by counts over all documents."""
-    pairs = terms.groupBy("entity", "term").agg(F.countDistinct("context").alias("n_te")).filter(F.col("n_te") >= setup.contexts)
-    n_e = found.select("mark", F.explode("contexts.entity").alias("entity")).groupBy("entity").agg(F.countDistinct("mark").alias("n_e"))
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+"))
-    n_t = docs.select(F.explode(F.filter(words, lambda w: F.length(w) >= setup.letters)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    held = found.filter(F.size("entities") > 0).withColumn("content", F.xxhash64("text"))
+    n_e = held.select("content", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"), F.countDistinct("content").alias("contents"))
+    n_e = n_e.filter(F.col("contents") >= setup.contexts).drop("contents")  # the others have no pair in so many texts
+    outside = F.when(F.size("email") > 0, F.regexp_replace("text", PATTERNS["email"], " ")).otherwise(F.col("text"))
+    own = held.select("content", outside.alias("text"), F.explode("entities").alias("entity")).join(n_e.select("entity"), "entity", "left_semi")
+    pairs = own.select("entity", "content", F.explode(_terms(F.col("text"))).alias("term")).groupBy("entity", "term", "content").agg(F.count("*").alias("rows"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("n_te"), F.count("*").alias("contents")).filter(F.col("contents") >= setup.contexts)
+    n_t = docs.select(F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.count("*").alias("n"))
     all_ = pairs.join(n_e, "entity").join(n_t, "term").crossJoin(F.broadcast(total))  # one row
     content = F.log2(F.col("n") / F.col("n_e"))
@@ -147,20 +138,40 @@ def disclosures(docs: DataFrame, terms: DataFrame, found: DataFrame, setup: Sani
     return all_.select("entity", "term", value.alias("disclosure")).filter(F.col("disclosure") >= setup.threshold)
 
 
+def _places(text: Column, known: Column) -> Column:
+    """Array of (start, end, disclosure) of every place of the known terms, a map to disclosures."""
+    none = F.array().cast(_TERM_SPANS)
+
+    def walk(words: Column, gaps: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            word = F.get(words, i - 1)
+            start = acc["at"] + F.length(F.get(gaps, i - 1))
+            end = start + F.length(word)
+            value = F.try_element_at(known, F.lower(word))
+            out = F.when(value.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("disclosure")))))
+            return F.struct(end.alias("at"), out.alias("out"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(words)), F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+
+    return let(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), lambda w: F.when(F.size(w) == 0, none).otherwise(let(F.split(text, _TERM, -1), lambda g: walk(w, g))))
+
+
 def private_spans(docs: DataFrame, setup: Sanitiser = Sanitiser(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, mark, the arrays of pattern spans and ``term``, the spans of revealing terms.
 
     A term inside or across a pattern span is part of it already and gives no span of its own.
     """
-    found = cut(entities(docs, setup, id_col, text_col), "pii-entities")
-    terms = cut(context_terms(found.filter(F.size("contexts") > 0), setup), "pii-terms")
-    flagged = disclosures(docs, terms, found, setup, text_col)
-    spans = terms.join(flagged, ["entity", "term"]).groupBy("doc_id", "mark", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    spans = spans.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("term"))
-    named = spans.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "term")
-    joined = found.drop("contexts").join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left")
+    found = cut(entities(docs, id_col, text_col), "pii-entities")
+    flagged = cut(disclosures(docs, found, setup, text_col), "pii-terms")
+    holders = found.select("doc_id", "mark", F.explode("entities").alias("entity")).distinct()
+    known = holders.join(flagged, "entity").groupBy("doc_id", "mark", "term").agg(F.max("disclosure").alias("disclosure"))
+    known = known.groupBy("doc_id", "mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("known"))
+    named = known.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "known")
+    joined = found.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left")
+    none = F.array().cast(_TERM_SPANS)
+    joined = joined.withColumn("term", F.when(F.col("known").isNull(), none).otherwise(_places(F.col("text"), F.col("known"))))
     base = F.concat(*KINDS)
-    free = F.filter(F.coalesce("term", F.array().cast("array<struct<start:int,end:int,disclosure:double>>")), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    free = F.filter("term", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return joined.select("doc_id", "mark", *KINDS, free.alias("term"))
 
 

@@ -323,6 +323,21 @@ def test_pii(docs, rows, empty):
     assert not any(pii_base(c) for i, c in clean.items() if i is not None and "300.1" not in c and "a@b" not in text[i])
 
 
+def test_pii_counts_whole_texts(spark):
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    texts = [say(60) for _ in range(60)]
+    for i in range(3):  # a long and a short name, far from the entity, and twice in a text
+        texts[i] = f"Quartz {say(40)} Bo {say(40)} z{i}@mail.example.com joe@mail.example.com {say(40)} QUARTZ"
+    texts[3] = "Quartz " + say(20)
+    texts[4] = texts[5] = "copied once joe2@mail.example.com"  # one text only
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(texts[r.doc_id][s.start : s.end], round(s.disclosure, 6)) for s in r.term] for r in pii.private_spans(docs).collect()}
+    quartz = round(1 - math.log2(4 / 3) / math.log2(60 / 3), 6)
+    assert all(got[i] == [("Quartz", quartz), ("Bo", 1.0), ("QUARTZ", quartz)] for i in range(3))
+    assert not any(got[i] for i in range(3, 60))
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     say = lambda n: [rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(n)]
