@@ -36,7 +36,8 @@ class MixPlan:
     """Weights repeat over the sources in code point order; a target stops at ``most`` times its source.
 
     ``slots`` is the wanted number of schedule slots for the whole mix (the block length follows
-    from it); ``slack`` more are drawn, so that no source falls short by the points' discrepancy.
+    from it); ``slack`` more are drawn against the points' discrepancy.  A source that still has fewer
+    slots than it needs (short last blocks cost whole slots) gets the missing ranks at the end.
     """
 
     weights: tuple[int, ...] = (1, 2, 3)
@@ -91,10 +92,13 @@ def _ranked(df: DataFrame, groups: list[str], chunk: str, order: list[str | Colu
 def schedule(per_source: DataFrame, block: int, n_slots: int) -> DataFrame:
     """slot, source, rank, epoch, block_no, length of every slot that the mix uses."""
     cells, shift = 4096, 20
-    ranges = (
-        per_source.filter("want > 0 AND high > low")
+    wanted = (
+        per_source.filter("want > 0")
         .withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
         .withColumn("need", F.expr(f"(want div source_size) * blocks + cast(ceil((want % source_size) / {block}) as bigint)"))
+    )
+    ranges = (
+        wanted.filter("high > low")
         .withColumn("cell", F.explode(F.sequence(F.shiftright("low", shift), F.shiftright(F.col("high") - 1, shift))))
         .select("source", "low", "high", "source_size", "want", "blocks", "need", "cell")
     )
@@ -103,6 +107,13 @@ def schedule(per_source: DataFrame, block: int, n_slots: int) -> DataFrame:
     hit = points.withColumn("cell", F.shiftright("x", shift)).join(ranges, "cell").filter("x >= low AND x < high")
     hit = hit.withColumn("chunk", F.expr(f"slot div {max(1, n_slots // 1024)}"))
     ranked = _ranked(hit, ["source"], "chunk", ["slot"], F.lit(1), "rank").filter("rank < need")
+    got = hit.groupBy(F.col("source").alias("got_source")).agg(F.count("*").alias("got"))
+    short = wanted.join(got, F.col("source").eqNullSafe(F.col("got_source")), "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < need")
+    before = W.orderBy(F.col("source").isNull(), "source").rowsBetween(W.unboundedPreceding, -1)  # one row a source
+    short = short.withColumn("base", F.lit(n_slots) + F.coalesce(F.sum(F.expr("need - got")).over(before), F.lit(0)))
+    more = short.withColumn("rank", F.explode(F.sequence("got", F.col("need") - 1))).withColumn("slot", F.expr("base + rank - got"))
+    plain = ("slot", "source", "rank", "source_size", "want", "blocks")
+    ranked = ranked.select(*plain).unionByName(more.select(*plain))
     at = ranked.withColumn("epoch", F.expr("rank div blocks")).withColumn("block_no", F.expr("rank % blocks"))
     left = F.expr(f"least({block}, source_size - block_no * {block}, want - epoch * source_size - block_no * {block})")
     return at.select("slot", "source", "rank", "epoch", "block_no", left.alias("length"), F.expr(f"least({block}, source_size - block_no * {block})").alias("full"))

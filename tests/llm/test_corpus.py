@@ -295,6 +295,21 @@ def test_schedule_is_spread(docs):
         assert all(abs(seen[x] - n * p) < 8 for x, p in share.items())
 
 
+def test_schedule_meets_the_targets_of_small_sources(spark):
+    plan = mixing.MixPlan(slots=1 << 10)
+    for sizes in ([4_000_000, 500, 2_000, 5_000, 50_000, 1], [4_600_000_000_000, 100]):
+        rows = [(k, None if k == 2 else f"s{k}", n) for k, n in enumerate(sizes)]
+        per_source = mixing.targets(spark.createDataFrame(rows, "doc_id long, source string, size long"), plan).cache()
+        total = sum(sizes)
+        block = max(1, -(-total // plan.slots))
+        slots = mixing.schedule(per_source, block, int(-(-total // block) * (1 + plan.slack)) + 64).collect()
+        got = collections.Counter()
+        for s in slots:
+            got[s.source] += s.length
+        assert got == {r.source: r.want for r in per_source.collect()} and len({s.slot for s in slots}) == len(slots)
+        assert len({(s.source, s.rank) for s in slots}) == len(slots)
+
+
 def pii_base(t):
     found = []
     for kind, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
