@@ -223,6 +223,9 @@ class SetJoin:
         order = np.lexsort((token, df, e.tags, e.ids))
         ids, tags = e.ids[order], e.tags[order]
         token, size, df = token[order].view(np.int64), size[order].astype(np.int64), df[order].astype(np.int64)
+        # repeated rows share id and tag: their shingles stand here once for each row
+        once = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]) | (token[1:] != token[:-1])]) if len(ids) else np.zeros(0, np.int64)
+        ids, tags, token, size, df = ids[once], tags[once], token[once], size[once], df[once]
         at = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]) if len(ids) else np.zeros(0, np.int64)
         rows = []
         for low, high in zip(at.tolist(), np.r_[at[1:], len(ids)].tolist()):

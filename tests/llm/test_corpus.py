@@ -176,6 +176,19 @@ def test_near_groups_do_not_depend_on_the_costs(docs, rows, lead, star):
     assert got == brute_groups(rows)
 
 
+@pytest.mark.parametrize("star", [1, 10**6])
+def test_repeated_rows_are_one_node(spark, star):
+    """A row that stands twice shares a long passage, too short for a link, with another document."""
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"{rng.choice(WORDS)}{rng.randint(0, 9999)}" for _ in range(n))
+    passage, tail = say(120), say(90)
+    one = f"{passage} {say(90)}"
+    texts = [(1, one), (1, one), (2, f"{passage} {tail}"), *[(k, f"{say(120)} {tail}") for k in range(3, 10)]]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_groups(rows, neardup.JoinSetup(star_over=star, lead=0)).collect()}
+    assert got == brute_groups([(i, t, None) for i, t in texts]) and got[2][1] == 2
+
+
 def test_components_of_a_path(spark):
     links = spark.range(40).selectExpr("(id * 7) % 41 AS a", "((id + 1) * 7) % 41 AS b").unionByName(spark.createDataFrame([(100, 101), (101, 101)], "a long, b long"))
     got = {r.node: r.component for r in neardup.components(links).collect()}
