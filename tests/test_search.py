@@ -159,3 +159,22 @@ def test_polyline_and_json(spark, tmp_path):
     assert line.select(P.polyline(F.col("pts"))).first()[0] == "_p~iF~ps|U_ulLnnqC_mqNvxq`@"
     P.write_json(line, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).first().points[1] == [40.7, -120.95]
+
+
+def test_truth_holds_near_pairs_that_never_collide(spark, monkeypatch):
+    from nearpath.plans import queries
+
+    rng = random.Random(3)
+    walk = lambda: [(rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(rng.randint(1, 3))]
+    rows = [(i, walk()) for i in range(60)] + [(60, [(0.0, 0.0)]), (61, [(4.0, 0.0)]), (62, [(-4.0, 0.0)]), (63, [])]
+    curves = spark.createDataFrame(rows, "id long, pts array<struct<x:double,y:double>>")
+    want = {(r["query"], r.candidate) for r in evaluate.distance_matrix(curves, curves).filter("distance <= 4").collect()}
+    got = [(r["query"], r.candidate) for r in evaluate.near_pairs(curves, curves, 4.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (60, 61) in want and (60, 62) in want and (63, 5) in want
+    curves = curves.filter("id <> 63")
+    near = len([1 for a, b in want if 63 not in (a, b)])
+    monkeypatch.setattr(queries, "line_curves", lambda *_: curves)
+    r = queries.seed_summary(spark, "").first()
+    assert r.avg_tp + r.avg_fn == near
+    r = queries.confusion_all_pairs(spark, "").first()
+    assert r.tp + r.fn == near > queries.confusion(spark, "").selectExpr("tp + fn").first()[0]
