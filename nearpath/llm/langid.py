@@ -33,7 +33,6 @@ _BLOCK = 16 << 10
 class Setup:
     sample_rows: int = 400
     dictionary_bytes: int = 64 << 10
-    max_languages: int = 64
     level: int = 6
     margin_bits: float = 0.05
 
@@ -43,9 +42,9 @@ def letters(text: str) -> bytes:
 
 
 def fit(labelled: DataFrame, setup: Setup = Setup(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """language -> dictionary bytes.  At most ``max_languages``, the most frequent, are learned."""
+    """language -> dictionary bytes, of every language in the table."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(setup.max_languages).collect()
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return {}
     # a hash threshold keeps about twice the wanted rows of a language before the exact cut

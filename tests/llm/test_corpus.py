@@ -104,6 +104,11 @@ def test_language(spark):
     assert langid.fit(df.limit(0)) == {} and langid.identify(df.limit(0), model).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"text of language number {'abcdefghij'[i // 10] * 5} {'abcdefghij'[i % 10] * 5}", f"l{i:02}") for i in range(70)]
+    assert set(langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == {r[2] for r in rows}
+
+
 def test_exact_dedup(docs, rows, empty):
     norm = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t)) for i, t, _ in rows]
     group = collections.defaultdict(list)
