@@ -3,7 +3,10 @@
 Word counts over all documents choose the words; the driver compiles them with their ids into a
 shared-suffix automaton (a documented number of words, so the broadcast is bounded), which each
 worker memory-maps.  A word that is not in it is merged exactly, lowest rank and leftmost first.
-Results are those of the tokenizer file's own normaliser, splitter, merges and special tokens.
+Results are those of the tokenizer file's own normaliser, splitter, merges and special tokens: texts
+of plain Latin are split by ``re``; of others, only the chunks between white space that hold rarer
+characters are normalised by the library and split by classes learned from its splitter.  All pieces
+go through the same memo, transducer and merges.
 
 Defined results: null counts as empty and gives no ids; strings of special tokens inside a text
 are those tokens, as in the library; very long words are merged with a heap, never cut; repeated
@@ -17,9 +20,7 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,20 @@ from nearpath.llm.common import documents, kept, release, tidy
 
 #: Most frequent words of the corpus that are compiled; bounds the broadcast.
 LEXICON_WORDS = 50_000
-#: Words remembered by a worker in front of the automaton, in two generations.
+#: Bytes of the longest word that is compiled; longer ones are merged where they occur.
+LEXICON_BYTES = 96
+#: Words remembered by a worker in front of the automaton, in two generations, and their longest.
 MEMO_WORDS = 150_000
+MEMO_CHARS = 64
 
 #: Letters below U+02B0.  Texts that hold nothing but these, digits, printable ASCII, Latin-1 signs
-#: and plain white space are split by ``re``; others by the tokenizer file's own splitter.
+#: and plain white space are split by ``re``.
 LATIN = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
 PLAIN = re.compile("[^\\t\\n\\r -~¡-ʯ]")
+#: The same, less the letters whose lower case leaves the range.
+PLAIN_LOWER = re.compile("[^\\t\\n\\r -~¡-ʯ]|[" + "".join(c for c in map(chr, range(0xA1, 0x2B0)) if PLAIN.search(c.lower())) + "]")
+#: White space that the normaliser replaces; nothing composes or splits across it.
+_GAPS = re.compile("[\\t\\n\\r ]+")
 
 
 def default_path(name: str) -> str:
@@ -54,7 +62,10 @@ def byte_characters() -> list[str]:
 
 
 class Memo(dict):
-    """word -> ids as packed 16 or 32 bit integers; older words are forgotten a generation at a time."""
+    """word -> ids as packed 16 or 32 bit integers; older words are forgotten a generation at a time.
+
+    Words of more than ``MEMO_CHARS`` characters are made anew each time, so the memory is bounded.
+    """
 
     def __init__(self, make, limit: int = MEMO_WORDS):
         super().__init__()
@@ -64,6 +75,8 @@ class Memo(dict):
         value = self._old.get(word)
         if value is None:
             value = self._make(word)
+        if len(word) > MEMO_CHARS:
+            return value
         if len(self) >= self._limit:
             self._old = dict(self)
             self.clear()
@@ -71,6 +84,26 @@ class Memo(dict):
         return value
 
 
+class Classes(dict):
+    """Code point -> an ASCII character of the same class (letter, digit, white space, sign), as the
+    tokenizer file's splitter sees it; most of ASCII stands for itself."""
+
+    def __init__(self, tok: WordBpe):
+        super().__init__((c, c) for c in (*range(28), *range(32, 128)))  # ``re`` takes the four others for space
+        self._tok = tok
+
+    def __missing__(self, code: int) -> int:
+        c, split = chr(code), self._tok.library.pre_tokenizer.pre_tokenize_str
+        if not split(c):
+            kind = " "
+        elif len(split(f"x{c}x")) == 1:
+            kind = "x"
+        else:
+            kind = "0" if len(split(c + c)) == 2 else "!"
+        self[code] = ord(kind)
+        return self[code]
+
+
 class WordBpe:
     """A BPE tokenizer with end-of-word marks, read from a tokenizer file."""
 
@@ -88,6 +121,8 @@ class WordBpe:
         names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.tokens = [names.get(i, "") for i in range(max(names) + 1)]
         self.memo = Memo(lambda word: np.asarray(self.encode_word(word), dtype="<u4").tobytes())
+        self.chunks = Memo(self._chunk, MEMO_WORDS // 2)
+        self.classes = Classes(self)
         self._word = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[" + LATIN + "]+|[0-9²³¹¼-¾]|[^\\s" + LATIN + "0-9²³¹¼-¾]+")
 
     @functools.cached_property
@@ -142,11 +177,17 @@ class WordBpe:
         return self.encode_piece("".join([self.chars[b] for b in raw]))
 
     def _segment(self, text: str) -> bytes:
-        if PLAIN.search(text) is None:
+        if PLAIN_LOWER.search(text) is None:
             return b"".join(map(self.memo.__getitem__, self._word.findall(text.lower())))
-        lib = self.library
-        pieces = lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))
-        return np.asarray(list(chain.from_iterable(self.encode_piece(p) for p, _ in pieces if p)), dtype="<u4").tobytes()
+        return b"".join(map(self.chunks.__getitem__, _GAPS.split(text)))
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a run without plain white space."""
+        if PLAIN_LOWER.search(chunk) is None:
+            return b"".join(map(self.memo.__getitem__, self._word.findall(chunk.lower())))
+        shown = self.library.normalizer.normalize_str(chunk)
+        spans = (m.span() for m in self._word.finditer(shown.translate(self.classes)))
+        return b"".join([self.memo[shown[a:b]] for a, b in spans])
 
     def encode(self, text: str) -> np.ndarray:
         if self.special_split is not None and "<|" in text:
@@ -165,9 +206,10 @@ def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS, text_col: str = "tex
     """The n most frequent lower-case letter runs over all documents.
 
     A histogram of the counts by powers of two finds a bound that at least n words reach; only
-    those words are sorted and sent to the driver, in whichever number of tasks.
+    those words are sorted and sent to the driver, in whichever number of tasks.  Words of more than
+    ``LEXICON_BYTES`` bytes are left to the merges, so the broadcast is bounded in bytes too.
     """
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("w")).filter("w <> ''")
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("w")).filter(F.octet_length("w").between(1, LEXICON_BYTES))
     counts = kept(words.groupBy("w").count().filter("count > 1"))
     sizes = dict(counts.groupBy(F.floor(F.log2("count")).alias("power")).count().collect())
     least, held = 0, 0
