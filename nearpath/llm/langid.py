@@ -1,8 +1,9 @@
 """Language ID by compression: the language whose dictionary makes the text smallest.
 
-``fit`` takes, per language, a bounded sample of labelled rows (in the order of a hash of their
-ids, at most ``sample_rows`` rows and ``dictionary_bytes`` bytes) as a zstandard raw-content
-dictionary.  ``identify`` reduces a whole text to its lower-case letter runs, compresses it in
+``fit`` takes, per language, a bounded sample of labelled rows (whole texts in the order of a hash of
+their ids, at most ``sample_rows`` rows) as a zstandard raw-content dictionary of at most
+``dictionary_bytes`` bytes.  One scan draws the samples of all languages; each language's dictionary is
+put together by a task of its own, and only dictionaries reach the driver.  ``identify`` reduces a whole text to its lower-case letter runs, compresses it in
 blocks with every dictionary and adds up the sizes.  A margin below ``margin_bits`` bits a byte
 marks the answer as rejected.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import documents, tidy
+from nearpath.llm.common import documents, tidied, tidy
 
 UNDETERMINED = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _BLOCK = 16 << 10
 
 
@@ -37,8 +38,15 @@ class Setup:
     margin_bits: float = 0.05
 
 
+@functools.cache
+def _not_letters() -> re.Pattern:
+    """Runs of characters that are no letters; ``\\w`` alone would take numbers such as one half too."""
+    numbers = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[\W\d_{numbers}]+")
+
+
 def letters(text: str) -> bytes:
-    return _NOT_LETTERS.sub(" ", text.lower()).strip().encode()
+    return _not_letters().sub(" ", text.lower()).strip().encode()
 
 
 def fit(labelled: DataFrame, setup: Setup = Setup(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
@@ -50,14 +58,18 @@ def fit(labelled: DataFrame, setup: Setup = Setup(), id_col: str = "doc_id", tex
     # a hash threshold keeps about twice the wanted rows of a language before the exact cut
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 40)).alias("draw")
     share = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(min(1 << 40, int((1 << 40) * 2 * setup.sample_rows / n) + 1)))])
-    few = rows.select(F.col(lang_col).alias("lang"), draw, F.substring(F.col(text_col), 1, setup.dictionary_bytes).alias("text")).filter(F.col("draw") < share[F.col("lang")])
-    found: dict[str, bytearray] = {lang: bytearray() for lang, _ in counts}
-    for lang in found:
-        for row in few.filter(F.col("lang") == lang).orderBy("draw", "text").limit(setup.sample_rows).select("text").toLocalIterator():
-            if len(found[lang]) >= setup.dictionary_bytes:
+    few = rows.select(F.col(lang_col).alias("lang"), draw, F.col(text_col).alias("text")).filter(F.col("draw") < share[F.col("lang")])
+
+    def dictionary(table: pa.Table) -> pa.Table:
+        found = bytearray()
+        for row in table.sort_by([("draw", "ascending"), ("text", "ascending")]).slice(0, setup.sample_rows).column("text"):
+            if len(found) >= setup.dictionary_bytes:
                 break
-            found[lang] += letters(row.text) + b" "
-    return {lang: bytes(b[: setup.dictionary_bytes]) for lang, b in sorted(found.items()) if len(b) >= 8}
+            found += letters(row.as_py()) + b" "
+        return pa.table({"lang": table.column("lang").slice(0, 1), "content": pa.array([bytes(found[: setup.dictionary_bytes])])})
+
+    made = few.groupBy("lang").applyInArrow(lambda t: tidied(dictionary(t)), "lang string, content binary").collect()
+    return {r.lang: bytes(r.content) for r in sorted(made, key=lambda r: r.lang) if len(r.content) >= 8}
 
 
 @functools.lru_cache(maxsize=4)
