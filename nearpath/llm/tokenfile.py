@@ -14,7 +14,8 @@ the sampled places without decoding the others.  Segments are the rows of a Parq
 file system and commit protocol that Spark knows will do, and a lost task is simply run again.
 
 Defined results: a null text is empty and holds the end id alone; null ids sort first; rows that
-repeat an id are separate documents next to each other; an empty table gives no rows.
+repeat an id are separate documents next to each other, in the order of a hash of their texts, then of
+the texts, and may lie in several partitions; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -206,7 +207,9 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
 
     n = partitions or shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SEGMENTS).write.parquet(out)
+    order = ("doc_id", "mark", "text")
+    rows = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange(n, "doc_id", "mark").sortWithinPartitions(*order).select("doc_id", "text")
+    rows.mapInArrow(run, SEGMENTS).write.parquet(out)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
