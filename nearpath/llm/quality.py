@@ -11,6 +11,7 @@ an empty table gives no rows; columns other than the id and text are not read.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +31,7 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """A document breaks the rule when its metric is below ``least`` or above ``most``."""
+    """A document breaks the rule when its metric is below ``least`` or above ``most``; without bounds, never."""
 
     name: str
     metric: str
@@ -123,7 +124,7 @@ def compile_rules(rules: tuple[Rule, ...]) -> dict[str, Column]:
     for rule in rules:
         value = _ratio(*_DERIVED[rule.metric]) if rule.metric in _DERIVED else F.col(rule.metric)
         tests = [value < F.lit(rule.least)] * (rule.least is not None) + [value > F.lit(rule.most)] * (rule.most is not None)
-        out[rule.name] = tests[0] if len(tests) == 1 else tests[0] | tests[1]
+        out[rule.name] = functools.reduce(Column.__or__, tests, F.lit(False))
     return out
 
 
