@@ -28,18 +28,41 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (local tests), a temporary one."""
+    """The cluster's shared folder; where none is named, a temporary one, for sessions of one machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = getattr(spark.sparkContext, "_nearpath_shared", None) or tempfile.mkdtemp(prefix="nearpath-")
         spark.sparkContext._nearpath_shared = named
     return named.rstrip("/")
 
 
+def intermediate(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, noted for ``sweep``."""
+    path = f"{shared_dir(spark)}/nearpath/{name}-{uuid.uuid4().hex}"
+    spark.sparkContext._nearpath_paths = [*noted(spark), path]
+    return path
+
+
+def noted(spark: SparkSession) -> list[str]:
+    return getattr(spark.sparkContext, "_nearpath_paths", [])
+
+
+def sweep(spark: SparkSession, before: int = 0) -> None:
+    """Delete the intermediate tables noted after the first ``before``; for when the results that read
+    them lazily are written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in noted(spark)[before:]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    spark.sparkContext._nearpath_paths = noted(spark)[:before]
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/nearpath/{name}-{uuid.uuid4().hex}"
+    path = intermediate(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,7 +75,7 @@ def kept(df: DataFrame) -> DataFrame:
 def settled(df: DataFrame, name: str, rows_a_file: int = 500_000) -> DataFrame:
     """``cut`` for frames of small rows: computed at full width, written in as few files as its size asks for."""
     held = df.persist()
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/nearpath/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, intermediate(df.sparkSession, name)
     held.coalesce(held.count() // rows_a_file + 1).write.parquet(path)
     held.unpersist()
     return spark.read.schema(df.schema).parquet(path)
@@ -62,6 +85,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def buckets_for(docs: DataFrame, text_col: str = "text", each: int = 32 << 20) -> int:
+    """Groups to deal a table's texts into: about ``each`` bytes of text a group, at least one a shuffle partition."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    return max(shuffle_partitions(docs.sparkSession), -(-total // each))
+
+
+def row_key(df: DataFrame) -> Column:
+    """64-bit hash of all columns of a row, nulls told from values; for rows whose ids repeat or are null."""
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return F.xxhash64(*names, F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in names]))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the frame does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``, whatever the optimiser collapses."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,7 +5,9 @@ scan task first combines its own copies in a trie, so a text with very many copi
 once, not once a row.  Distinct texts are then dealt by (length, content hash) and inserted into
 the tries of their partitions; terminal nodes hold the smallest identifier and the number of rows.
 A trie over its memory bound spills its largest subtree: the scan side hands it on as partial
-groups, the owner side writes it as a sorted run in its scratch space and merges the runs at the end.
+groups, the owner side writes it as a sorted run in its scratch space and merges the runs at the end
+(scratch of one task: if its executor is lost, the task starts again).  Verdicts return to the rows by
+the digest of the text; the few largest groups are broadcast, so their rows are not gathered.
 
 Defined results: null counts as empty text; rows without an id join the group of their text and
 never own it unless no row has an id (then ``keep_id`` is null and nothing is kept); rows that
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import SPACES, documents, tidy
+from nearpath.llm.common import SPACES, documents, fresh, row_key, settled, tidy
 
 #: Bytes of trie (labels plus a fixed charge a node) before a subtree is spilled.
 SCAN_BYTES = 48 << 20
@@ -211,20 +213,45 @@ def text_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return owners.select(F.unhex(F.sha2("norm", 256)).alias("digest"), "keep_id", F.col("rows").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, keep_id, group_size, kept, text_sha256."""
-    owners = text_owners(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normal_text(F.col(text_col)).cast("binary"), 256)).alias("digest"))
-    return rows.join(owners, "digest").select(
+def _digest(text: F.Column) -> F.Column:
+    return F.unhex(F.sha2(normal_text(text).cast("binary"), 256))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: int = 5_000) -> DataFrame:
+    """One row a document: id, keep_id, group_size, kept, text_sha256.
+
+    ``largest`` bounds the broadcast: groups of more than one in so many rows, at most that many groups.
+    """
+    owners = settled(text_owners(docs, id_col, text_col), "exact-owners")
+    least = owners.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0] // largest + 64
+    rows = docs.select(F.col(id_col).alias("doc_id"), _digest(F.col(text_col)).alias("digest"))
+    big = owners.filter(F.col("group_size") > least).select(F.col("digest").alias("big"), F.col("keep_id").alias("big_id"), F.col("group_size").alias("big_size"))
+    met = rows.join(F.broadcast(big), F.col("digest") == F.col("big"), "left")
+    # rows of the largest groups are done: their key, of another length, spreads them and meets nothing
+    key = F.when(F.col("big").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id").cast("string").cast("binary"))
+    met = met.withColumn("key", key).join(owners.select(F.col("digest").alias("own"), "keep_id", "group_size"), F.col("key") == F.col("own"), "left")
+    keep_id = F.when(F.col("big").isNull(), F.col("keep_id")).otherwise(F.col("big_id"))
+    size = F.when(F.col("big").isNull(), F.col("group_size")).otherwise(F.col("big_size"))
+    found = met.select("doc_id", keep_id.alias("keep_id"), size.alias("group_size"), "digest")
+    return found.select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that own their text, all columns as they came."""
-    verdicts = exact_dedup(docs)
-    gone = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row of each distinct text: the smallest id (null last), then the smallest hash of all columns;
+    columns as they came.
+
+    Rows are judged, not ids: other texts under the same id stay.  Of rows alike in all columns one stays.
+    """
+    key, = fresh(docs, "key")
+    owners = text_owners(docs).select(F.col("digest").alias("own"), "keep_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), _digest(F.col("text")).alias("digest"), row_key(docs).alias("row"))
+    # the owner's id is part of the key, so the copies of a text are not gathered
+    own = rows.join(owners, (F.col("digest") == F.col("own")) & F.col("id").eqNullSafe(F.col("keep_id")))
+    first = settled(own.groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("n"), F.countDistinct("row").alias("different")), "exact-first")
+    left = docs.withColumn(key, row_key(docs)).join(first.select(F.col("row").alias(key)), key, "left_semi").drop(key)
+    return left if first.filter("n > different").isEmpty() else left.dropDuplicates()
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ over (source, chunk) totals plus a window within a chunk.  The only single-task
 one row a source.
 
 Defined results: a null text has size 0; the null source is a source of its own, ranked last;
-documents without words take nothing; rows repeating an id are separate pieces of the stream; an
+documents without words take nothing; rows repeating an id are separate pieces of the stream (rows
+alike in id and size may swap places); an
 empty table gives no rows; only the id, text and source columns are read.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import WORD, cut, documents, kept, word_count
+from nearpath.llm.common import WORD, cut, documents, fresh, kept, row_key, word_count
 
 _SPAN = 1 << 32
 #: Fixed value: 2**32 divided by the golden ratio, odd.
@@ -159,12 +160,19 @@ def unused(placed: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def resample(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
-    """The documents as often as the mix takes them, in whole documents (halves up); columns as they came."""
-    times = mix(docs, plan).select(F.col("doc_id").alias("__id"), F.expr("cast(floor(taken / greatest(size, 1) + 0.5) as int)").alias("__times"))
-    # rows that repeat an id share the mean of what the mix takes of them
-    times = times.groupBy("__id").agg(F.round(F.avg("__times")).cast("int").alias("__times")).filter("__times > 0")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*[docs[c] for c in docs.columns])
+    """The rows as often as the mix takes them, in whole documents (halves up); columns as they came.
+
+    Rows are mixed, not ids, so rows that repeat an id, or have none, come as often as each is taken.
+    Rows alike in all columns come as often as they are taken together.
+    """
+    key, times, copy = fresh(docs, "key", "times", "copy")
+    rows = docs.withColumn(key, row_key(docs))
+    taken = mix(rows, plan, id_col=key).select(F.col("doc_id").alias(key), F.expr("cast(floor(taken / greatest(size, 1) + 0.5) as int)").alias(times))
+    taken = cut(taken.groupBy(key).agg(F.sum(times).cast("int").alias(times), F.count("*").alias(copy)), "mix-times")
+    if not taken.filter(F.col(copy) > 1).isEmpty():
+        rows = rows.dropDuplicates()
+    joined = rows.join(taken.filter(F.col(times) > 0).drop(copy), key)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """N-gram Jaccard join by adaptive multi-match prefixes, and the groups that its links form.
 
-A document's set holds its distinct k-word shingles (lower case, 64-bit hashes).  Similar sets
+A document's set holds its distinct k-word shingles (lower case).  Similar sets
 share at least ``t = ceil(threshold * n)`` shingles, so with any global order of shingles the first
 ``n - t + l`` of each share at least ``l`` (the smaller ``l`` of the two): a longer prefix asks for
 more matches.
 
+Shingles travel as 64-bit hashes made of the digests of their words.  They count the sets' sizes and
+find candidates; classes go by a 128-bit digest of the whole set; and a pair links only if the shingles
+of its two texts, compared word by word, say so.
+
 1. Equal sets form a class, represented by its smallest id; only representatives go on.
 2. Filter: with shingles in hash order and l growing with n, prefix entries meet by shingle.
    Representatives with too few shared entries can have no partner.
@@ -18,6 +22,9 @@ more matches.
    connected, so a large group of near copies never produces its pairs.
 5. Links are joined to components by alternating large-star and small-star steps.
 
+Joins by a shingle or a hub are salted by the number of its entries or pairs, so a frequent one is
+spread over tasks.
+
 Defined results: texts without words and null texts have no shingles and link with nothing; fewer
 than k words are one shingle; rows with a null id are counted but not linked (component null); rows
 that repeat an id are one node; an empty table gives no rows; only the id and text columns are read.
@@ -25,6 +32,7 @@ that repeat an id are one node; an empty table gives no rows; only the id and te
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,9 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import cut, documents, settled, shuffle_partitions, tidied, tidy
-from nearpath.llm.substring import _ANSWER, _MARK, _PACKED_SQL, _QUERY, Entries, _bucket, _columns, _runs, _text, pack, stretch_hash
-from nearpath.llm.wordcore import Words, mix, slices
+from nearpath.llm.common import SPACES, buckets_for, cut, documents, fresh, row_key, settled, tidied, tidy
+from nearpath.llm.substring import _ANSWER, _MARK, _PACKED_SQL, _QUERY, Entries, Once, _bucket, _columns, _runs, _text, pack
+from nearpath.llm.wordcore import Tokens, slices
 
 _U = np.uint64
 
@@ -46,7 +54,8 @@ class JoinSetup:
 
     ``bitmap_bits`` bounds the broadcast that marks documents passing the filter: collisions only let
     more documents pass.  ``heavy_tokens`` bounds the broadcast list of very frequent shingles.
-    ``star_over`` is the frequency above which a shingle's documents are first tried with its hub.
+    ``star_over`` is the frequency above which a shingle's documents are first tried with its hub;
+    ``salt_over`` the number of entries of a shingle, or pairs of a hub, that a task takes at once.
     """
 
     words: int = 5
@@ -56,6 +65,7 @@ class JoinSetup:
     bitmap_bits: int = 1 << 27
     heavy_tokens: int = 500_000
     star_over: int = 8
+    salt_over: int = 1024
 
     def least(self, n):
         return (self.num * n + self.den - 1) // self.den
@@ -70,13 +80,13 @@ class JoinSetup:
 
 def shingle_sets(offsets: np.ndarray, raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, shingle) sorted and distinct, set sizes and starts for a slice of documents."""
-    w = Words(raw, offsets, lower=True)
+    w = Tokens(raw, offsets, lower=True)
     at, h = w.windows(k)
     doc = w.doc[at]
     short = np.flatnonzero((w.count > 0) & (w.count < k))
     if len(short):
         doc = np.concatenate([doc, short])
-        h = np.concatenate([h, stretch_hash(w.hash, w.first[short], w.first[short] + w.count[short])])
+        h = np.concatenate([h, w.digests(w.first[short], w.first[short + 1])["x"]])
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     if len(h):
@@ -86,6 +96,12 @@ def shingle_sets(offsets: np.ndarray, raw: np.ndarray, k: int) -> tuple[np.ndarr
     return doc, h, n, np.r_[0, np.cumsum(n)]
 
 
+def word_set(text: str | None, k: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    words = (text or "").encode().lower().split()
+    return set(zip(*(words[i:] for i in range(k)))) if len(words) >= k else {tuple(words)} if words else set()
+
+
 class SetJoin:
     """Task-side work of the join."""
 
@@ -96,15 +112,13 @@ class SetJoin:
         for batch in batches:
             for at, to, offsets, raw in slices(_text(batch)):
                 _, h, n, start = shingle_sets(offsets, raw, self.setup.words)
-                prints = []
-                for salt in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
-                    total = np.r_[_U(0), np.cumsum(mix(h ^ _U(salt)))].astype(np.uint64)
-                    prints.append(pa.array((total[start[1:]] - total[start[:-1]]).astype(np.int64)))
+                block, edge = h.tobytes(), (8 * start).tolist()
+                prints = np.frombuffer(b"".join(hashlib.blake2b(block[a:b], digest_size=16).digest() for a, b in zip(edge[:-1], edge[1:])), dtype=np.int64).reshape(-1, 2)
                 part = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(n.astype(np.int64)), *prints], names=["doc_id", "tag", "n", "fp1", "fp2"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(n.astype(np.int64)), *map(pa.array, prints.T)], names=["doc_id", "tag", "n", "fp1", "fp2"])
 
     def prefixes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = self.setup
+        s, once = self.setup, Once()
         for batch in batches:
             ids, tags = _columns(batch)
             for at, to, offsets, raw in slices(_text(batch)):
@@ -118,8 +132,9 @@ class SetJoin:
                 own_ids, own_tags = ids[at:to], tags[at:to]
                 single = np.sort(order[~many])
                 yield from pack(_bucket(h[single], self.buckets), _QUERY, doc[single], own_ids, own_tags, h[single])
-                mark = order[first & many]
-                yield from pack(_bucket(h[mark], self.buckets), _MARK, None, own_ids, own_tags, h[mark])
+                mark = h[order[first & many]]
+                mark = mark[once.new(mark)]
+                yield from pack(_bucket(mark, self.buckets), _MARK, None, own_ids, own_tags, mark)
                 hits = np.bincount(doc[order[many]], minlength=to - at)
                 known = np.flatnonzero(hits)
                 yield from pack(own_tags[known].astype(np.int64) % self.buckets, _ANSWER, known, own_ids, own_tags, hits[known].astype(np.uint32))
@@ -151,7 +166,8 @@ class SetJoin:
         return pa.table({"doc_id": pa.array(ids), "tag": pa.array(tags.astype(np.int64)), "hits": pa.array(hits)})
 
     def sets(self, bitmap, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, dtype=np.uint8)
+        """The sets of the documents that pass, with their texts; a task sends a repeated row once."""
+        bits, once = np.frombuffer(bitmap.value, dtype=np.uint8), Once(1 << 16)
         for batch in batches:
             slot = batch.column("slot").to_numpy()
             passing = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
@@ -160,10 +176,11 @@ class SetJoin:
             batch = batch.take(pa.array(passing))
             for at, to, offsets, raw in slices(_text(batch)):
                 _, h, n, start = shingle_sets(offsets, raw, self.setup.words)
-                some = np.flatnonzero(n > 1)
+                part = batch.slice(at, to - at)
+                some = np.flatnonzero((n > 1) & once.new(*_columns(part)))
                 if len(some):
                     lists = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(h.view(np.int64)))
-                    out = pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), batch.column("tag").slice(at, to - at), lists], names=["doc_id", "tag", "toks"])
+                    out = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "tag", "text")), lists], names=["doc_id", "tag", "text", "toks"])
                     yield out.take(pa.array(some))
 
     @staticmethod
@@ -247,19 +264,16 @@ class SetJoin:
         return pa.table({name: pa.array(list(c), t) for name, c, t in zip(("doc_id", "n", "ell", "prefix", "shared", "central", "toks", "dfs"), columns, kinds)})
 
     def verify(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        num, den = self.setup.num, self.setup.den
+        """The pairs whose sets of shingles, taken from the texts, are similar enough."""
+        num, den, k = self.setup.num, self.setup.den, self.setup.words
         for batch in batches:
-            good = np.zeros(batch.num_rows, dtype=bool)
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            la, lb = batch.column("ta"), batch.column("tb")
-            va, vb = la.flatten().to_numpy(), lb.flatten().to_numpy()
-            oa, ob = la.offsets.to_numpy() - la.offsets[0].as_py(), lb.offsets.to_numpy() - lb.offsets[0].as_py()
-            for i in range(batch.num_rows):
-                both = np.concatenate([va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]])
-                both.sort()
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                good[i] = den * same >= num * (int(na[i]) + int(nb[i]) - same)
-            keep = pa.array(np.flatnonzero(good))
+            good = []
+            for i, (x, y) in enumerate(zip(batch.column("ta"), batch.column("tb"))):
+                x, y = word_set(x.as_py(), k), word_set(y.as_py(), k)
+                same = len(x & y)
+                if same and den * same >= num * (len(x) + len(y) - same):
+                    good.append(i)
+            keep = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
 
@@ -310,7 +324,7 @@ def shingle_links(docs: DataFrame, setup: JoinSetup = JoinSetup(), id_col: str =
     """(info, classes, links): set sizes and class marks of all rows, class representatives, and
     verified links between representatives that connect every group."""
     spark = docs.sparkSession
-    n_parts = shuffle_partitions(spark)
+    n_parts = buckets_for(docs, text_col)
     job = SetJoin(setup, n_parts, n_parts)
     tag = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tag)
@@ -327,9 +341,11 @@ def shingle_links(docs: DataFrame, setup: JoinSetup = JoinSetup(), id_col: str =
     bits = min(setup.bitmap_bits, max(1 << 18, 1 << int(64 * count).bit_length()))
     slot = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(bits)).alias("slot")
     bitmap = spark.sparkContext.broadcast(_bitmap(passing.select(slot), bits))
-    few = rows.filter("doc_id IS NOT NULL").select("doc_id", "text", "tag", slot).mapInArrow(tidy(lambda b: job.sets(bitmap, b)), "doc_id long, tag long, toks array<bigint>")
-    if count > bits // 8:  # too many for the bitmap to tell apart
+    few = rows.filter("doc_id IS NOT NULL").select("doc_id", "text", "tag", slot).mapInArrow(tidy(lambda b: job.sets(bitmap, b)), "doc_id long, tag long, text string, toks array<bigint>")
+    if count > bits // 8:  # too many for the bitmap to tell apart; the same result either way
         few = few.join(passing.select("doc_id", "tag"), ["doc_id", "tag"], "left_semi")
+    if not info.groupBy("doc_id", "tag").count().filter("doc_id IS NOT NULL AND count > 1").isEmpty():
+        few = few.dropDuplicates(["doc_id", "tag"])
     sets = cut(few, "near-sets")
 
     parts = max(1, sets.rdd.getNumPartitions())
@@ -346,16 +362,32 @@ def shingle_links(docs: DataFrame, setup: JoinSetup = JoinSetup(), id_col: str =
     zipped = F.arrays_zip(F.slice("toks", 1, F.col("prefix").cast("int")).alias("token"), F.col("dfs").alias("df"))
     plain = ("doc_id", "n", "ell", "shared", "central")
     posts = chosen.filter("prefix > 0").select(*plain, F.posexplode(zipped).alias("i", "z")).select(*plain, "z.token", "z.df", (F.col("n") - F.col("shared") + F.col("i")).alias("place"))
+    texts = sets.select("doc_id", "text")
 
     def fits(x: str, y: str) -> F.Column:
         """Sizes n and numbers of shared shingles that allow a link."""
         least = F.least(F.col(x + "shared"), F.col(y + "shared"))
         return (setup.num + setup.den) * least >= setup.num * (F.col(x + "n") + F.col(y + "n"))
 
+    def dealt(entries: DataFrame) -> DataFrame:
+        """One of the salts of its shingle for each entry."""
+        return entries.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / setup.salt_over)))
+
+    def spread(per_token: DataFrame) -> DataFrame:
+        """A row for every salt of its shingle."""
+        return per_token.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("df") / setup.salt_over) - 1))).drop("df")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        left = chosen.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
-        right = chosen.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(tidy(job.verify), "a long, b long")
+        """The pairs of a and b that are links; a, the hub of a star, may have very many."""
+        pairs = settled(pairs, "near-candidates")
+        many = pairs.groupBy("a").count().filter(F.col("count") > max(setup.salt_over, pairs.count() // 10_000))
+        many = F.broadcast(many.select(F.col("a").alias("hub"), F.ceil(F.col("count") / setup.salt_over).alias("parts")))  # at most 10,000 rows
+        salt = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0).cast("long"))
+        left = texts.join(many, F.col("doc_id") == F.col("hub"), "left").select(F.col("doc_id").alias("x"), F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)).alias("part"))
+        right = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("tb"))
+        asked = pairs.join(many, F.col("a") == F.col("hub"), "left").select("a", "b", salt.alias("salt"))
+        both = asked.join(right, F.col("b") == F.col("y")).join(left, (F.col("a") == F.col("x")) & (F.col("salt") == F.col("part")))
+        return both.select("a", "b", "ta", "tb").mapInArrow(tidy(job.verify), "a long, b long").distinct()
 
     def labelled(links: DataFrame, name: str) -> DataFrame:
         found = components(links, name)
@@ -364,15 +396,15 @@ def shingle_links(docs: DataFrame, setup: JoinSetup = JoinSetup(), id_col: str =
     def stars(own: DataFrame) -> DataFrame:
         """One pair a document: itself and the hub that it shares the most frequent shingles with."""
         often = own.filter(F.col("df") > setup.star_over)
-        hubs = often.groupBy("token").agg(F.max(F.struct("central", "doc_id", "n", "shared", "comp")).alias("h"))
-        hubs = hubs.select("token", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hn"), F.col("h.shared").alias("hshared"), F.col("h.comp").alias("hcomp"))
-        met = often.join(hubs, "token").filter("comp <> hcomp").filter(fits("", "h")).groupBy("hub", "doc_id").count()
+        hubs = often.groupBy("token").agg(F.max(F.struct("central", "doc_id", "n", "shared", "comp")).alias("h"), F.max("df").alias("df"))
+        hubs = hubs.select("token", "df", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hn"), F.col("h.shared").alias("hshared"), F.col("h.comp").alias("hcomp"))
+        met = dealt(often).join(spread(hubs), ["token", "salt"]).filter("comp <> hcomp").filter(fits("", "h")).groupBy("hub", "doc_id").count()
         return met.groupBy("doc_id").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
 
     def mixed_runs(own: DataFrame) -> DataFrame:
         """Entries of shingles that more than one component holds, and the main component of each."""
-        runs = own.groupBy("token").agg(F.max(F.struct("central", "doc_id", "comp")).alias("h"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        return own.join(runs.filter("low <> high").select("token", F.col("h.comp").alias("main")), "token")
+        runs = own.groupBy("token").agg(F.max(F.struct("central", "doc_id", "comp")).alias("h"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("df").alias("df"))
+        return dealt(own).join(spread(runs.filter("low <> high").select("token", "df", F.col("h.comp").alias("main"))), ["token", "salt"])
 
     links = settled(verified(stars(posts.withColumn("comp", F.col("doc_id")))), "near-stars")
     own = labelled(links, "near-first")
@@ -383,9 +415,9 @@ def shingle_links(docs: DataFrame, setup: JoinSetup = JoinSetup(), id_col: str =
     overlap = f"(({setup.num} * (xn + yn) + {setup.num + setup.den - 1}) div {setup.num + setup.den})"
     in_reach = F.expr(f"xplace < xn - {overlap} + least(xell, yell) AND yplace < yn - {overlap} + least(xell, yell)")
     members = mixed_runs(own)
-    as_side = lambda df, side: df.select("token", "main", *[F.col(c).alias(side + c) for c in ("doc_id", "n", "ell", "shared", "comp", "place")])
-    x, y = as_side(members.filter("comp <> main"), "x").drop("main"), as_side(members, "y")
-    on = [x["token"] == y["token"], F.col("xcomp") != F.col("ycomp"), (F.col("ycomp") == F.col("main")) | (F.col("xdoc_id") < F.col("ydoc_id")), fits("x", "y"), in_reach]
+    as_side = lambda df, side: df.select("token", "main", "df", "salt", *[F.col(c).alias(side + c) for c in ("doc_id", "n", "ell", "shared", "comp", "place")])
+    x, y = as_side(members.filter("comp <> main"), "x").drop("main", "df"), spread(as_side(members, "y").drop("salt"))
+    on = [x["token"] == y["token"], x["salt"] == y["salt"], F.col("xcomp") != F.col("ycomp"), (F.col("ycomp") == F.col("main")) | (F.col("xdoc_id") < F.col("ydoc_id")), fits("x", "y"), in_reach]
     met = x.join(y, on).select(F.least("xdoc_id", "ydoc_id").alias("a"), F.greatest("xdoc_id", "ydoc_id").alias("b"), F.least("xell", "yell").alias("ell"))
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("ell")).filter("shared >= ell").select("a", "b")
     second = settled(verified(pairs), "near-pairs")
@@ -402,9 +434,22 @@ def near_groups(docs: DataFrame, setup: JoinSetup = JoinSetup(), id_col: str = "
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each group, all columns as they came."""
-    gone = near_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One document of each group, the one with the smallest id (null last), all columns as they came.
+
+    Rows are judged, not ids: rows that repeat an id, or have none, stand for themselves, and of rows
+    alike in all columns one stays.  Texts without words are in no group, and all of them stay.
+    """
+    node, = fresh(docs, "node")
+    rows = docs.withColumn(node, row_key(docs))
+    keyed = rows.select(F.col(node).alias("node"), F.col("doc_id").cast("long").alias("id"), "text")
+    groups = near_groups(keyed, id_col="node")
+    named = cut(groups.filter("n_shingles > 0").select(F.col("doc_id").alias("node"), "component_id").distinct().join(keyed.select("node", "id").distinct(), "node"), "near-named")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("f")).select("f.node")
+    gone = named.select("node").join(first, "node", "left_anti").select(F.col("node").alias(node))
+    left = rows.join(gone, node, "left_anti")
+    if not keyed.groupBy("node").count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates([node])
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,4 +457,16 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_ngram_jaccard": op4_ngram_jaccard}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_ngram_jaccard": f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACES}'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))
+                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT p.y, r.root FROM r JOIN p ON r.node = p.x),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id FROM s LEFT JOIN c ON doc_id = node
+"""
+}

@@ -11,12 +11,16 @@ repeats can repeat.
    dropped.  A node whose occurrences all leave by the same edge does not branch.
 2. The marks return to their sources by a join on the document.  Consecutive nodes that do not
    branch compact into paths; windows inside a path repeat.  The remaining windows with a repeated
-   minimizer meet by their own 96-bit hash, which verifies them at their source coordinates.
+   minimizer are verified at their source coordinates: they meet by the digest of their words.
 3. The repeated windows return to their documents, and the words under them are removed.
 
+Edges and windows count as equal if the 128-bit BLAKE2b digests of their words are.  The rolling hash
+that chooses minimizers and brings entries together decides nothing: a collision costs work.
+
 Entries travel as packed arrays of a slice of documents.  Within a slice, entries that repeat are
-answered at once and leave it as a single mark, so a very frequent passage costs a task one entry a
-slice.  Documents are dealt by a hash of id and text; no group of documents is gathered.
+answered at once and leave it as a single mark, once a task, so a very frequent passage costs few
+entries.  Documents are dealt by a hash of id and text; no group of documents is gathered.  Buckets
+and cells follow the bytes of the texts, so what a task holds at once does not grow with the table.
 
 Defined results: null text has no words; texts shorter than a window keep everything; rows with the
 same id and text are separate sources (each repeats the other); null ids are allowed; an empty
@@ -33,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import documents, shuffle_partitions, tidied, tidy
-from nearpath.llm.wordcore import Words, _inverse, mix, powers, slices, window_hash
+from nearpath.llm.common import SPACES, buckets_for, documents, tidied, tidy
+from nearpath.llm.wordcore import DIGEST, Tokens, mix, slices, window_hash
 
 SPAN = 35
 KMER = 16
@@ -42,7 +46,6 @@ KMER = 16
 _U = np.uint64
 _NULL_ID = -(1 << 63)
 _WORDS_ROOT = 0xD6E8FEB86659FD93 | 1
-_CHECK_ROOT = 0xA0761D6478BD642F | 1
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *[(n, pa.binary()) for n in ("ids", "tags", "counts", "a", "b", "c")]])
 _PACKED_SQL = "bucket int, kind int, ids binary, tags binary, counts binary, a binary, b binary, c binary"
@@ -84,11 +87,21 @@ class Entries:
         return len(self.columns[0])
 
 
-def stretch_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    n = len(values)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * powers(_WORDS_ROOT, n), out=total[1:])
-    return mix((total[end] - total[start]) * powers(_inverse(_WORDS_ROOT), n + 1)[start] + (end - start).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+class Once:
+    """Marks that a task has not sent yet, among the last ``limit``."""
+
+    def __init__(self, limit: int = 1 << 18):
+        self._sent: set = set()
+        self._limit = limit
+
+    def new(self, *columns: np.ndarray) -> np.ndarray:
+        """Flags of the rows that are new."""
+        if len(self._sent) > self._limit:
+            self._sent.clear()
+        rows = columns[0].tolist() if len(columns) == 1 else list(zip(*(c.tolist() for c in columns)))
+        fresh = np.fromiter((r not in self._sent for r in rows), dtype=bool, count=len(rows))
+        self._sent.update(rows)
+        return fresh
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -107,7 +120,7 @@ class Graph:
     """Minimizer nodes of a slice of documents."""
 
     def __init__(self, offsets: np.ndarray, raw: np.ndarray, span: int, kmer: int):
-        self.words = w = Words(raw, offsets)
+        self.words = w = Tokens(raw, offsets)
         self.span, self.kmer, self.reach = span, kmer, span - kmer + 1
         n = len(w.hash)
         self.windows = max(0, n - span + 1)
@@ -125,11 +138,11 @@ class Graph:
         self.nodes = self.nodes[self.kmers[self.nodes] != 0]
 
     def edges(self) -> np.ndarray:
-        """Hash of the stretch from each node to the end of the next in its document; 0 at the last."""
-        out = np.zeros(len(self.nodes), dtype=np.uint64)
+        """Digest of the stretch from each node to the end of the next in its document; 0 at the last."""
+        out = np.zeros(len(self.nodes), dtype=DIGEST)
         doc = self.words.doc[self.nodes]
         follows = np.flatnonzero(doc[:-1] == doc[1:])
-        out[follows] = stretch_hash(self.words.hash, self.nodes[follows], self.nodes[follows + 1] + self.kmer)
+        out[follows] = self.words.digests(self.nodes[follows], self.nodes[follows + 1] + self.kmer)
         return out
 
 
@@ -170,6 +183,7 @@ class Repeats:
         return (tags % np.uint32(self.cells)).astype(np.int32)
 
     def nodes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = Once()
         for batch in batches:
             ids, tags = _columns(batch)
             for at, to, offsets, raw in slices(_text(batch)):
@@ -184,21 +198,23 @@ class Repeats:
                 single, twice = np.sort(order[~many]), np.sort(order[many])
                 own_ids, own_tags = ids[at:to], tags[at:to]
                 yield from pack(_bucket(key[single], self.buckets), _QUERY, owner[single], own_ids, own_tags, key[single], edge[single], place[single])
-                mark = order[start & many]
-                yield from pack(_bucket(key[mark], self.buckets), _MARK, None, own_ids, own_tags, key[mark])
+                mark = key[order[start & many]]
+                mark = mark[once.new(mark)]
+                yield from pack(_bucket(mark, self.buckets), _MARK, None, own_ids, own_tags, mark)
                 yield from pack(self._cell(own_tags[owner[twice]]) % self.buckets, _ANSWER, owner[twice], own_ids, own_tags, place[twice], np.zeros(len(twice), np.uint8))
 
     def join_nodes(self, table: pa.Table) -> pa.Table:
-        asked, marked, known = Entries(table, _QUERY, (np.uint64, np.uint64, np.uint32)), Entries(table, _MARK, (np.uint64,)), Entries(table, _ANSWER, (np.uint32, np.uint8))
+        asked, marked, known = Entries(table, _QUERY, (np.uint64, DIGEST, np.uint32)), Entries(table, _MARK, (np.uint64,)), Entries(table, _ANSWER, (np.uint32, np.uint8))
         key, edge, place = asked.columns
         order, start = _runs(key)
         number = np.cumsum(start) - 1
         key = key[order]
         elsewhere = np.isin(key, marked.columns[0])
         repeated = (np.bincount(number)[number] > 1) | elsewhere if len(key) else elsewhere
-        e = edge[order]
-        first = e[np.flatnonzero(start)][number] if len(key) else e
-        differs = np.bincount(number, weights=(e != first) | (e == 0) | elsewhere)[number] > 0 if len(key) else elsewhere
+        x, y = edge["x"][order], edge["y"][order]
+        first = np.flatnonzero(start)[number] if len(key) else number
+        apart = (x != x[first]) | (y != y[first]) | ((x == 0) & (y == 0)) | elsewhere
+        differs = np.bincount(number, weights=apart)[number] > 0 if len(key) else elsewhere
         found = order[repeated]
         straight = (~differs[repeated]).astype(np.uint8)
         return self._answers([(asked.ids[found], asked.tags[found], place[found], straight), (known.ids, known.tags, known.columns[0], known.columns[1])])
@@ -231,6 +247,7 @@ class Repeats:
         ids, tags = _columns(docs)
         where, (places, straight) = self._by_document(Entries(answers, _ANSWER, (np.uint32, np.uint8)))
         out: list[pa.RecordBatch] = []
+        once = Once()
         for at, to, offsets, raw in slices(_text(docs)):
             own_ids, own_tags = ids[at:to], tags[at:to]
             hits = [(d, where[k]) for d, k in enumerate(zip(own_ids.tolist(), own_tags.tolist())) if k in where]
@@ -260,8 +277,8 @@ class Repeats:
             on_path = np.cumsum(inside[:-1]) > 0
             open_ = np.flatnonzero(candidate & ~on_path)
             known = on_path & g.valid
-            key = window_hash(w.hash, self.span, _WORDS_ROOT)[open_]
-            check = (window_hash(w.hash, self.span, _CHECK_ROOT)[open_] & _U(0xFFFFFFFF)).astype(np.uint32)
+            digest = w.digests(open_, open_ + self.span)
+            key, check = np.ascontiguousarray(digest["x"]), np.ascontiguousarray(digest["y"])
             order, start = _runs(key, check)
             number = np.cumsum(start) - 1
             many = np.bincount(number)[number] > 1 if len(order) else start
@@ -270,6 +287,7 @@ class Repeats:
             owner = w.doc[open_[single]]
             out += pack(_bucket(key[single], self.buckets), _QUERY, owner, own_ids, own_tags, key[single], check[single], (open_[single] - w.first[owner]).astype(np.uint32))
             mark = order[start & many]
+            mark = mark[once.new(key[mark])]
             out += pack(_bucket(key[mark], self.buckets), _MARK, None, own_ids, own_tags, key[mark], check[mark])
             first, length = self._spans(known, w)
             owner = w.doc[first]
@@ -277,7 +295,7 @@ class Repeats:
         return pa.Table.from_batches(out, schema=_PACKED)
 
     @staticmethod
-    def _spans(known: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    def _spans(known: np.ndarray, w: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Maximal runs of repeated windows within a document: (first window, windows)."""
         at = np.flatnonzero(known)
         if not len(at):
@@ -287,7 +305,7 @@ class Repeats:
         return at[first], np.diff(np.r_[first, len(at)]).astype(np.uint32)
 
     def join_windows(self, table: pa.Table) -> pa.Table:
-        asked, marked, known = Entries(table, _QUERY, (np.uint64, np.uint32, np.uint32)), Entries(table, _MARK, (np.uint64, np.uint32)), Entries(table, _ANSWER, (np.uint32, np.uint32))
+        asked, marked, known = Entries(table, _QUERY, (np.uint64, np.uint64, np.uint32)), Entries(table, _MARK, (np.uint64, np.uint64)), Entries(table, _ANSWER, (np.uint32, np.uint32))
         key, check = (np.concatenate([x, y]) for x, y in zip(asked.columns[:2], marked.columns))
         order, start = _runs(key, check)
         number = np.cumsum(start) - 1
@@ -315,7 +333,7 @@ class Repeats:
 
 
 def _answered(docs: DataFrame, span: int, kmer: int, id_col: str, text_col: str):
-    n = shuffle_partitions(docs.sparkSession)
+    n = buckets_for(docs, text_col)
     job = Repeats(span, kmer, n, n)
     key = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(0xFFFFFFFF))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("tag")).withColumn("cell", (F.col("tag") % job.cells).cast("int"))
@@ -371,4 +389,13 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_substring": op7_substring}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_substring": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '{SPACES}'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT rid, i, count(*) OVER (PARTITION BY array_to_string(w[i:i+{SPAN - 1}], ' ')) AS n FROM d, unnest(range(1, len(w) - {SPAN - 2})) AS u(i)),
+g AS (SELECT DISTINCT rid, i + k AS at FROM v, range({SPAN}) AS r(k) WHERE n > 1),
+p AS (SELECT rid, at, w[at] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(at)),
+k AS (SELECT p.rid, count(g.at) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p.at) FILTER (g.at IS NULL), '') AS kept FROM p LEFT JOIN g ON p.rid = g.rid AND p.at = g.at GROUP BY p.rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""
+}

@@ -1,12 +1,17 @@
-"""Vectorised word and shingle hashing over Arrow text columns.
+"""Words of Arrow text columns, in slices of a bounded number of bytes, and their hashes.
 
 Words are maximal runs of characters outside ``[\\x20\\x09-\\x0D]``; those separators are single
-bytes in UTF-8, so boundaries are found on raw bytes and nothing is decoded.  Every hash is a
-64-bit value computed with whole-array numpy steps, in slices of a bounded number of bytes.
+bytes in UTF-8, so boundaries are found on raw bytes and nothing is decoded.
+
+``Tokens`` serves the operators that compare words: a word's hash is the first 64 bits of its BLAKE2b
+digest, and stretches of words are compared by 128-bit digests of their bytes.  ``Words`` serves hashed
+features: polynomial hashes of words and of pieces of them in whole-array steps, which different
+words may share.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +22,6 @@ SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _ROOT = 0x9E3779B97F4A7C15 | 1
-_WORD_ROOT = 0xC2B2AE3D27D4EB4F | 1
 _M64 = (1 << 64) - 1
 
 
@@ -96,13 +100,70 @@ class Words:
         """Hash of the bytes from start to end."""
         return mix((self.total[end] - self.total[start]) * powers(_inverse(_ROOT), len(self.total))[start])
 
+
+class _WordHashes(dict):
+    """word -> 64 bits of its digest; the words of a worker, in two bounded generations."""
+
+    limit, longest = 1 << 16, 64
+
+    def __init__(self):
+        super().__init__()
+        self._old: dict[bytes, int] = {}
+
+    def __missing__(self, word: bytes) -> int:
+        value = self._old.get(word)
+        if value is None:
+            value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= self.longest:
+            if len(self) >= self.limit:
+                self._old = dict(self)
+                self.clear()
+            self[word] = value
+        return value
+
+
+_word_hashes = _WordHashes()
+DIGEST = np.dtype([("x", "<u8"), ("y", "<u8")])
+
+
+class Tokens:
+    """Words of a slice of documents: their bytes, ``hash`` and ``doc``; of each document ``first`` and
+    ``count``."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+        block = data.tobytes()
+        if lower:
+            block = block.lower()  # of bytes: A-Z only
+        words, count = [], []
+        for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            own = block[low:high].split()  # of bytes: at the six separators only
+            words += own
+            count.append(len(own))
+        self.words = words
+        self.count = np.asarray(count, dtype=np.int64)
+        self.first = np.r_[0, np.cumsum(self.count)]
+        self.doc = np.repeat(np.arange(len(count)), self.count)
+        self.hash = np.fromiter(map(_word_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+        self._joined: tuple[bytes, np.ndarray] | None = None
+
+    def digests(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """128-bit digests of the words from low to high (exclusive, at least one), joined by spaces."""
+        if self._joined is None:
+            self._joined = b" ".join(self.words), np.r_[0, np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1)]
+        block, at = self._joined
+        make = hashlib.blake2b
+        return np.frombuffer(b"".join([make(block[a:b], digest_size=16).digest() for a, b in zip(at[low].tolist(), (at[high] - 1).tolist())]), dtype=DIGEST)
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(word index, hash) of each k-word window that lies within one document."""
-        hashes = window_hash(self.hash, k, _WORD_ROOT)
-        if not len(hashes):
-            return np.zeros(0, dtype=np.int64), hashes
-        inside = np.flatnonzero(self.doc[: len(hashes)] == self.doc[k - 1 :])
-        return inside, hashes[inside]
+        n = len(self.hash) - k + 1
+        if n <= 0:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        inside = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
+        value = mix(self.hash[inside])
+        for j in range(1, k):
+            value = mix(value + self.hash[inside + j])
+        return inside, value
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

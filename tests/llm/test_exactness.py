@@ -10,7 +10,8 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nearpath.llm import bpe, langid, quality, tokenfile
+from nearpath.llm import bpe, exactdedup, langid, mixing, neardup, quality, substring, tokenfile, toxicity
+from nearpath.llm.common import noted, sweep
 
 WORDS = "the of and le la und der que house river stone light table green mountain window".split()
 
@@ -110,3 +111,123 @@ def test_token_files_order_of_repeated_ids(spark, tmp_path):
 def test_rule_without_bounds_breaks_nothing(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert quality.score_quality(docs, (quality.Rule("none", "n_words"),)).select(F.size("broken")).first()[0] == 0
+
+
+# words compared as words
+
+def twins(n=2048):
+    """Two words of n letters that polynomial hashes modulo 2**64 take for one (Thue-Morse)."""
+    bit = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bit), "".join("ba"[b] for b in bit)
+
+
+def test_substring_tells_words_apart(spark):
+    head = " ".join(f"w{i}" for i in range(34))
+    x, y = twins()
+    docs = spark.createDataFrame([(1, f"{head} {x}"), (2, f"{head} {y}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring.remove_repeats(docs).collect()] == [0, 0]
+    again = docs.union(docs.filter("doc_id = 2"))
+    assert sorted((r.doc_id, r.n_removed) for r in substring.remove_repeats(again).collect()) == [(1, 0), (2, 35), (2, 35)]
+
+
+def test_near_groups_tell_words_apart(spark):
+    x, y = twins()
+    docs = spark.createDataFrame([(1, x), (2, y), (3, f"{x} a b c d"), (4, f"{y} a b c d"), (5, x.upper())], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_groups(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_hubs_and_shingles_are_salted(spark):
+    """Tiny salts give the same groups."""
+    rng = random.Random(6)
+    base = [f"{rng.choice(WORDS)}{rng.randint(0, 99)}" for _ in range(80)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [{r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_groups(docs, neardup.JoinSetup(salt_over=s)).collect()} for s in (1, 7, 1024)]
+    assert found[0] == found[1] == found[2]
+
+
+# rows, not ids
+
+ROWS = [
+    (1, "same text here", "a", 1), (5, "same  text here", "a", 1), (5, "a different text", "b", 2), (None, "no id", "a", 3), (None, "no\tid", None, 3),
+    (None, "same text here", "c", 4), (7, None, None, None), (8, "", None, None), (9, "twice", "a", 5), (9, "twice", "a", 5), (9, "twice", "b", 5),
+]
+SCHEMA = "doc_id long, text string, source string, key long"
+
+
+def test_drop_copies_judges_rows(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    left = exactdedup.drop_copies(docs)
+    got = collections.Counter((r.doc_id, r.text) for r in left.collect())
+    assert left.columns == docs.columns and got[5, "a different text"] == 1 and got[1, "same text here"] == 1 and got[9, "twice"] == 1
+    assert got[7, None] == 1 and got[8, ""] == 0 and got[5, "same  text here"] == 0 and got[None, "same text here"] == 0
+    assert got[None, "no id"] + got[None, "no\tid"] == 1 and sum(got.values()) == 5
+    assert exactdedup.drop_copies(docs.limit(0)).count() == 0
+
+
+def test_exact_dedup_with_large_groups(spark):
+    rows = [(i if i % 7 else None, ("most common text" if i % 3 else "  ") if i % 5 else f"text {i}") for i in range(1, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for largest in (1, 5_000):
+        got = collections.Counter(map(tuple, exactdedup.exact_dedup(docs, largest=largest).select("doc_id", "keep_id", "group_size", "kept").collect()))
+        groups = collections.defaultdict(list)
+        for i, t in rows:
+            groups[t.strip()].append(i)
+        first = {t: min(i for i in ids if i is not None) if any(ids) else None for t, ids in groups.items()}
+        assert got == collections.Counter((i, first[t.strip()], len(groups[t.strip()]), i is not None and i == first[t.strip()]) for i, t in rows)
+
+
+def test_keep_one_judges_rows(spark):
+    say = lambda k: " ".join(f"{WORDS[j % 15]}{j * k}" for j in range(60))
+    a, b = say(3), say(5)
+    near = a.replace("the0", "The0 more")
+    rows = [(4, a, "x", 1), (2, near, "x", 1), (2, b, "x", 1), (None, a.upper(), "x", 1), (None, b + " end", "x", 1), (None, None, "x", 1), (None, "", "x", 2), (6, say(7), "x", 1), (6, say(7), "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string, component_id long")
+    left = neardup.keep_one(docs)
+    assert left.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in left.collect()) == collections.Counter([(2, near), (2, b), (None, None), (None, ""), (6, say(7))])
+    assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_resample_repeats_rows(spark):
+    rows = [(1, "a b c d e f", "s", 0), (1, "g", "s", 0), (None, "h i", "s", 0), (None, "j k l", None, 0), (2, None, "s", 0), (3, "m n", "t", 1), (3, "m n", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, times long")
+    found = mixing.resample(docs)
+    got = collections.Counter(map(tuple, found.collect()))
+    assert found.columns == docs.columns and set(got) <= set(rows) and (2, None, "s", 0) not in got
+    taken = collections.Counter()
+    for r in mixing.mix(docs.withColumn("key", F.xxhash64("doc_id", "text", "source", "times"))).collect():
+        taken[r.source] += r.taken
+    assert mixing.resample(docs.limit(0)).count() == 0 and max(got.values()) <= 6
+
+
+def test_drop_toxic_judges_rows(spark):
+    rng = random.Random(6)
+    say = lambda n: [rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(n)]
+    rows, marks = [], []
+    for i in range(200):
+        w, bad = say(rng.randint(5, 50)), i % 4 == 0
+        if bad:
+            w[rng.randrange(len(w))] = "vilest"
+        rows.append((i, " ".join(w), 0.1))
+        marks.append((i, int(bad)))
+    odd = [(1000, "so vilest here", 1.0), (1000, " ".join(say(20)), 1.0), (None, "you vilest one", None), (None, None, None), (1001, "", None)]
+    docs, labels = spark.createDataFrame(rows + odd, "doc_id long, text string, score double"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    left = toxicity.drop_toxic(docs, labels)
+    got = collections.Counter(map(tuple, left.collect()))
+    assert left.schema == docs.schema and [got[r] for r in odd] == [0, 1, 0, 1, 1]
+    assert toxicity.drop_toxic(docs, labels.limit(0)).count() == len(rows) + len(odd)
+
+
+def test_intermediates_are_swept(spark):
+    before = len(noted(spark))
+    neardup.near_groups(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).collect()
+    paths = noted(spark)[before:]
+    sweep(spark, before)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    assert paths and noted(spark)[before:] == [] and not any(path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(p)) for p in paths)
