@@ -5,11 +5,12 @@ share at least ``t = ceil(threshold * n)`` shingles, so with any global order of
 ``n - t + l`` of each share at least ``l`` (the smaller ``l`` of the two): a longer prefix asks for
 more matches.
 
-Shingles travel as 64-bit hashes made of the digests of their words.  They count the sets' sizes and
-find candidates; classes go by a 128-bit digest of the whole set; and a pair links only if the shingles
-of its two texts, compared word by word, say so.
+Shingles travel as 64-bit hashes made of those of their words.  They count the sets' sizes and find
+candidates; classes go by a 128-bit BLAKE2b digest of all words; and a pair links only if the shingles of
+its two texts, compared word by word, say so.
 
-1. Equal sets form a class, represented by its smallest id; only representatives go on.
+1. Texts of the same words, or of one and the same shingle, form a class, represented by its smallest
+   id; only representatives go on.
 2. Filter: with shingles in hash order and l growing with n, prefix entries meet by shingle.
    Representatives with too few shared entries can have no partner.
 3. The others get the exact document frequency of each shingle.  Shared shingles are ordered by
@@ -32,7 +33,6 @@ that repeat an id are one node; an empty table gives no rows; only the id and te
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -78,9 +78,8 @@ class JoinSetup:
         return 1 + n * self.lead // 100
 
 
-def shingle_sets(offsets: np.ndarray, raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def shingle_sets(w: Tokens, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, shingle) sorted and distinct, set sizes and starts for a slice of documents."""
-    w = Tokens(raw, offsets, lower=True)
     at, h = w.windows(k)
     doc = w.doc[at]
     short = np.flatnonzero((w.count > 0) & (w.count < k))
@@ -92,7 +91,7 @@ def shingle_sets(offsets: np.ndarray, raw: np.ndarray, k: int) -> tuple[np.ndarr
     if len(h):
         new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
         doc, h = doc[new], h[new]
-    n = np.bincount(doc, minlength=len(offsets) - 1)
+    n = np.bincount(doc, minlength=len(w.count))
     return doc, h, n, np.r_[0, np.cumsum(n)]
 
 
@@ -111,9 +110,12 @@ class SetJoin:
     def info(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, offsets, raw in slices(_text(batch)):
-                _, h, n, start = shingle_sets(offsets, raw, self.setup.words)
-                block, edge = h.tobytes(), (8 * start).tolist()
-                prints = np.frombuffer(b"".join(hashlib.blake2b(block[a:b], digest_size=16).digest() for a, b in zip(edge[:-1], edge[1:])), dtype=np.int64).reshape(-1, 2)
+                w = Tokens(raw, offsets, lower=True)
+                n = shingle_sets(w, self.setup.words)[2]
+                prints, some = np.zeros((to - at, 2), dtype=np.int64), np.flatnonzero(w.count)
+                low, high = w.first[some], w.first[some + 1]
+                high = np.where(n[some] == 1, np.minimum(low + self.setup.words, high), high)  # one shingle, however often
+                prints[some] = w.digests(low, high).view(np.int64).reshape(-1, 2)
                 part = batch.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(n.astype(np.int64)), *map(pa.array, prints.T)], names=["doc_id", "tag", "n", "fp1", "fp2"])
 
@@ -122,7 +124,7 @@ class SetJoin:
         for batch in batches:
             ids, tags = _columns(batch)
             for at, to, offsets, raw in slices(_text(batch)):
-                doc, h, n, start = shingle_sets(offsets, raw, s.words)
+                doc, h, n, start = shingle_sets(Tokens(raw, offsets, lower=True), s.words)
                 length = np.where(n > 1, np.minimum(n, n - s.least(n) + s.matches(n)), 0)
                 in_prefix = np.arange(len(h)) - start[doc] < length[doc]
                 doc, h = doc[in_prefix], h[in_prefix]
@@ -175,7 +177,7 @@ class SetJoin:
                 continue
             batch = batch.take(pa.array(passing))
             for at, to, offsets, raw in slices(_text(batch)):
-                _, h, n, start = shingle_sets(offsets, raw, self.setup.words)
+                _, h, n, start = shingle_sets(Tokens(raw, offsets, lower=True), self.setup.words)
                 part = batch.slice(at, to - at)
                 some = np.flatnonzero((n > 1) & once.new(*_columns(part)))
                 if len(some):
@@ -425,7 +427,7 @@ def shingle_links(docs: DataFrame, setup: JoinSetup = JoinSetup(), id_col: str =
 
 
 def near_groups(docs: DataFrame, setup: JoinSetup = JoinSetup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, copies (rows with an equal set)."""
+    """One row a document: doc_id, n_shingles, component_id, copies (rows with the same words)."""
     info, classes, links = shingle_links(docs, setup, id_col, text_col)
     groups = components(links, "near-groups")
     named = classes.join(groups, F.col("rep") == F.col("node"), "left").select(F.col("fp1").alias("k1"), F.col("fp2").alias("k2"), F.col("n").alias("kn"), F.coalesce("component", "rep").alias("group"), "copies")

@@ -393,9 +393,9 @@ ORACLES = {
     "op7_substring": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '{SPACES}'), lambda x: x <> '') AS w FROM documents),
 v AS (SELECT rid, i, count(*) OVER (PARTITION BY array_to_string(w[i:i+{SPAN - 1}], ' ')) AS n FROM d, unnest(range(1, len(w) - {SPAN - 2})) AS u(i)),
-g AS (SELECT DISTINCT rid, i + k AS at FROM v, range({SPAN}) AS r(k) WHERE n > 1),
-p AS (SELECT rid, at, w[at] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(at)),
-k AS (SELECT p.rid, count(g.at) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p.at) FILTER (g.at IS NULL), '') AS kept FROM p LEFT JOIN g ON p.rid = g.rid AND p.at = g.at GROUP BY p.rid)
+g AS (SELECT DISTINCT rid, i + k AS j FROM v, range({SPAN}) AS r(k) WHERE n > 1),
+p AS (SELECT rid, j, w[j] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(j)),
+k AS (SELECT p.rid, count(g.j) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p.j) FILTER (g.j IS NULL), '') AS kept FROM p LEFT JOIN g ON p.rid = g.rid AND p.j = g.j GROUP BY p.rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
 """
 }

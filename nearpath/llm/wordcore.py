@@ -3,10 +3,10 @@
 Words are maximal runs of characters outside ``[\\x20\\x09-\\x0D]``; those separators are single
 bytes in UTF-8, so boundaries are found on raw bytes and nothing is decoded.
 
-``Tokens`` serves the operators that compare words: a word's hash is the first 64 bits of its BLAKE2b
-digest, and stretches of words are compared by 128-bit digests of their bytes.  ``Words`` serves hashed
-features: polynomial hashes of words and of pieces of them in whole-array steps, which different
-words may share.
+``Tokens`` serves the operators that compare words: hashes of words (XXH3, 64 bits) bring candidates
+together, and stretches of words are compared by 128-bit BLAKE2b digests of their bytes.  ``Words`` serves
+hashed features: polynomial hashes of words and of pieces of them in whole-array steps, which
+different words may share.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text handled at once; a longer single document is its own slice.
 SLICE_BYTES = 1 << 20
@@ -101,28 +102,6 @@ class Words:
         return mix((self.total[end] - self.total[start]) * powers(_inverse(_ROOT), len(self.total))[start])
 
 
-class _WordHashes(dict):
-    """word -> 64 bits of its digest; the words of a worker, in two bounded generations."""
-
-    limit, longest = 1 << 16, 64
-
-    def __init__(self):
-        super().__init__()
-        self._old: dict[bytes, int] = {}
-
-    def __missing__(self, word: bytes) -> int:
-        value = self._old.get(word)
-        if value is None:
-            value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= self.longest:
-            if len(self) >= self.limit:
-                self._old = dict(self)
-                self.clear()
-            self[word] = value
-        return value
-
-
-_word_hashes = _WordHashes()
 DIGEST = np.dtype([("x", "<u8"), ("y", "<u8")])
 
 
@@ -143,7 +122,7 @@ class Tokens:
         self.count = np.asarray(count, dtype=np.int64)
         self.first = np.r_[0, np.cumsum(self.count)]
         self.doc = np.repeat(np.arange(len(count)), self.count)
-        self.hash = np.fromiter(map(_word_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+        self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
         self._joined: tuple[bytes, np.ndarray] | None = None
 
     def digests(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:

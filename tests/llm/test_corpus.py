@@ -404,7 +404,7 @@ def test_toxicity_trains_on_whole_texts(spark):
         texts.append(" ".join(w))
         marks.append(int(bad))
     docs, labels = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
-    assert sorted(toxicity.sample(docs, labels)[0]) == sorted(texts)
+    assert sorted(r.text for r in toxicity.sample(docs, labels).collect()) == sorted(texts)
     model = toxicity.train(texts[:90], marks[:90], toxicity.FitSetup(updates=60))
     offsets, raw = wordcore.text_buffers(toxicity.pa.array(texts[90:]))
     assert ((model.score(offsets, raw) >= 0.5) == np.array(marks[90:])).all()

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nearpath.llm import bpe, exactdedup, langid, mixing, neardup, quality, substring, tokenfile, toxicity
+from nearpath.llm import bpe, exactdedup, langid, mixing, neardup, pii, quality, substring, tokenfile, toxicity
 from nearpath.llm.common import noted, sweep
 
 WORDS = "the of and le la und der que house river stone light table green mountain window".split()
@@ -136,6 +137,13 @@ def test_near_groups_tell_words_apart(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_groups(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
 
 
+def test_sets_are_equal_though_texts_differ(spark):
+    texts = ["a a a a a", "A a a a a a a", "a a a a", "b c d e f b c d e f b c", "c d e f b c d e f b c d e f", "b c d e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_groups(docs).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (5, 3), 4: (5, 3), 5: (1, 5)}
+
+
 def test_hubs_and_shingles_are_salted(spark):
     """Tiny salts give the same groups."""
     rng = random.Random(6)
@@ -231,3 +239,116 @@ def test_intermediates_are_swept(spark):
     sweep(spark, before)
     path = spark._jvm.org.apache.hadoop.fs.Path
     assert paths and noted(spark)[before:] == [] and not any(path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(p)) for p in paths)
+
+
+# toxicity
+
+def plain_scores(texts, model):
+    """Scores by loops over words, characters and steps, without the operator's arrays."""
+    s, p, low = model.setup, model.params, 2**64 - 1
+    from nearpath.llm import wordcore
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & low
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & low
+        return x ^ (x >> 31)
+
+    def hashed(piece):
+        total, power = 0, 1
+        for b in piece:
+            total, power = (total + int(wordcore._LOWER[b]) * power) & low, power * wordcore._ROOT & low
+        return mixed(total)
+
+    def char_slots(word):
+        found = [(word[:n], n) for n in range(3, 9) if len(word) >= n] + [(word[-n:], 16 + n) for n in (3, 5) if len(word) >= n]
+        found += [(word[at : at + 4], 32) for at in range(1, 24) if len(word) >= at + 4]
+        return [((hashed(piece) * 0x9E3779B97F4A7C15 + salt * 0x632BE59BD9B4E019 & low) >> 40) % s.char_slots for piece, salt in found]
+
+    def vector(word):
+        v, slots = p["Ew"][(hashed(word) >> 33) % s.word_slots].astype(float), char_slots(word)
+        return v + sum(p["Ec"][c].astype(float) for c in slots) / len(slots) if slots else v
+
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(d, xs):
+        h, out = np.zeros(s.hidden), []
+        for x in xs:
+            a = x @ p[f"W{d}"] + p[f"b{d}"]
+            zr = sigmoid(a[: 2 * s.hidden] + h @ p[f"U{d}"])
+            z, r = zr[: s.hidden], zr[s.hidden :]
+            h = h + z * (np.tanh(a[2 * s.hidden :] + (r * h) @ p[f"V{d}"]) - h)
+            out.append(h)
+        return out
+
+    def window(words):
+        xs = [vector(w) for w in words]
+        H = [np.concatenate(t) for t in zip(states("f", xs), states("b", xs[::-1])[::-1], xs)]
+        weight = np.exp([np.tanh(h @ p["Wa"] + p["ba"]) @ p["va"] for h in H])
+        return sum(w * h for w, h in zip(weight / weight.sum(), H)) @ p["wo"] + p["bo"][0]
+
+    out = []
+    for t in texts:
+        words = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t or "").encode().split(b" ")
+        words = [w for w in words if w]
+        starts = [0]
+        while starts[-1] + s.window < len(words):
+            starts.append(starts[-1] + s.stride)
+        out.append(sigmoid(max(window(words[a : a + s.window]) for a in starts) - model.shift) if words else 0.0)
+    return out
+
+
+def test_toxicity_scores_by_a_plain_network():
+    setup = toxicity.FitSetup(embed=5, hidden=3, attend=4, word_slots=64, char_slots=128, window=8, stride=6)
+    params = {k: v * 3 for k, v in toxicity.Network.initial(setup).p.items()}
+    model = toxicity.Model(params, setup, 0.2)
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(WORDS) + rng.choice(["", "s", "ingly", "-Ü9", "!"]) for _ in range(n)) for n in (1, 5, 8, 9, 14, 15, 40, 200)] + ["", None, "?! .", "A B\tc\nLONGestWordOfAllTheWordsThatThereAre é"]
+    got = model.score(*toxicity.slices.__globals__["text_buffers"](toxicity.pa.array(texts)))
+    assert np.allclose(got, plain_scores(texts, model), atol=1e-4)
+
+
+def test_toxicity_network_has_many_live_inputs():
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(400)]
+    texts = [" ".join(rng.choices(vocabulary, k=60)) + (" vilest" if i % 4 == 0 else "") for i in range(400)]
+    model = toxicity.train(texts, [int(i % 4 == 0) for i in range(400)], toxicity.FitSetup(updates=20, epochs=2))
+    assert np.abs(model.params["Ew"]).any(axis=1).sum() > 300 and np.abs(model.params["Ec"]).any(axis=1).sum() > 1000
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 7}") for i in range(100)] + [(2, "b"), (3, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic long")
+    assert sorted((r.toxic, r.text) for r in toxicity.sample(docs, marks).collect()) == [(0, "b"), (1, "text 0")]
+
+
+# personal data
+
+def test_pii_many_matches_and_long_texts(spark):
+    from tests.llm.test_corpus import pii_base
+
+    rng = random.Random(17)
+    bits = [f"u{i}@mail{i % 7}.example.com" for i in range(900)] + ["\U0001f600é", "10.0.0.1", "+1 (017) 555-7713", "word", "中文 a"] * 60
+    rng.shuffle(bits)
+    texts = [" ".join(bits), "x" * 255 + " a@b.c", "x" * 256 + " a@b.c " + "y" * 700 + "\n10.9.8.7", "+1 10.0.0.1 a1@b.c.1.2.3.4", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(k, s.start, s.end) for k in pii.KINDS for s in r[k]] for r in pii.private_spans(docs).collect()}
+    assert got == {i: pii_base(t or "") for i, t in enumerate(texts)}
+    clean = {r.doc_id: r.clean for r in pii.sanitise(docs, pii.Sanitiser(contexts=9)).collect()}
+    for i, t in enumerate(texts):
+        want, at = "", 0
+        for low, high, kind in sorted((s, e, k) for k, s, e in got[i]):
+            if low >= at:
+                want += t[at:low] + f"[{kind.upper()}]"
+            at = max(at, high)
+        assert clean[i] == want + (t or "")[at:]
+
+
+def test_pii_time_is_linear(spark):
+    """Four times the matches in a text take far less than sixteen times as long."""
+    took = []
+    for n in (20_000, 80_000):
+        docs = spark.createDataFrame([(1, " ".join(f"a{i}@b.cd" for i in range(n)))], "doc_id long, text string")
+        began = time.perf_counter()
+        assert docs.select(F.size(pii.base_spans(F.col("text"), "email")).alias("n")).first().n == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 2
