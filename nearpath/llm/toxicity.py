@@ -9,9 +9,10 @@ Training takes a sample of labelled rows (bounded in rows by ``FitSetup``) and,
 windows of their whole texts; so does the choice of the cut between the classes.  A toxic document
 need not be toxic in each window, so after the first epochs only its highest windows count as toxic (multiple-instance
 learning), and clean documents are shown by their highest windows and a few others.
-Features are learned if they tell the classes apart in either direction (a two-sample z of ``least_z``
-or more); those of ``prior_z`` start with a sign.  A share of the sample is kept out of training to
-choose the cut between the classes.
+Words and character features that tell the classes apart in either direction (a two-sample z of
+``strong_z`` or more) learn at the full rate, and those of ``prior_z`` start with a sign.  All others that
+occur in a share ``weak_share`` of the sample start at zero and learn at ``weak_rate`` of it; rarer ones
+stay at zero.  A share of the sample is kept out of training to choose the cut between the classes.
 
 Defined results: texts without a letter or digit, and null texts, score 0; rows are judged alone;
 without labelled rows of both classes every score is 0; an empty table gives no rows.
@@ -19,7 +20,6 @@ without labelled rows of both classes every score is 0; an empty table gives no
 
 from __future__ import annotations
 
-import gc
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import documents, labels, release, tidy
+from nearpath.llm.common import documents, labels, tidy
 from nearpath.llm.wordcore import NOT_WORD, Words, slices
 
 _U = np.uint64
@@ -49,7 +49,9 @@ class FitSetup:
     attend: int = 8
     word_slots: int = 1 << 15
     char_slots: int = 1 << 15
-    least_z: float = 3.0
+    strong_z: float = 3.0
+    weak_share: float = 0.01
+    weak_rate: float = 0.01
     prior_z: float = 4.5
     check_share: float = 0.2
     epochs: int = 6
@@ -287,15 +289,17 @@ def train(texts: list[str], toxic: list[int], setup: FitSetup = FitSetup()) -> M
             held[0, int(toxic[d]), np.unique(v.word_slot[seen_word[low:high]])] += 1
             held[1, int(toxic[d]), np.unique(v.chars(seen_word[low:high])[0])] += 1
     sizes = [max(1, int((~kept_out & (toxic == c)).sum())) for c in (0, 1)]
-    live = {}
+    trust = {}
     for k, (clean, bad), slots in (("Ew", held[0], s.word_slots), ("Ec", held[1], s.char_slots)):
         clean, bad = clean[:slots], bad[:slots]
         share = np.clip((clean + bad) / sum(sizes), 1e-9, 1 - 1e-9)
         z = (bad / sizes[1] - clean / sizes[0]) / np.sqrt(share * (1 - share) * (1 / sizes[0] + 1 / sizes[1]))
-        live[k] = ((np.abs(z) >= s.least_z) & (clean + bad >= 3))[:, None]
+        strong = (np.abs(z) >= s.strong_z) & (clean + bad >= 3)
+        weak = clean + bad >= s.weak_share * sum(sizes)
+        trust[k] = np.where(strong, 1.0, np.where(weak, s.weak_rate, 0.0))[:, None].astype(np.float32)
         p[k][:, 0] += (np.sign(z) * np.clip((np.abs(z) - s.prior_z) / 4, 0, 2)).astype(np.float32)
-    for k, m in live.items():
-        p[k] *= m
+    for k, m in trust.items():
+        p[k] *= m >= 1
 
     doc, first, length = all_windows(v.words, s)
     label = toxic[doc]
@@ -358,9 +362,8 @@ def train(texts: list[str], toxic: list[int], setup: FitSetup = FitSetup()) -> M
                 grad = g[k] + s.decay * a_
                 m1[k] += 0.1 * (grad - m1[k])
                 m2[k] += 0.001 * (grad * grad - m2[k])
-                a_ -= (rate * m1[k] / (np.sqrt(m2[k]) + 1e-7)).astype(np.float32)
-                if k in live:
-                    a_ *= live[k]
+                step_ = (rate * m1[k] / (np.sqrt(m2[k]) + 1e-7)).astype(np.float32)
+                a_ -= step_ * trust[k] if k in trust else step_
     # the cut between the classes: worst window a document; wrongly rejecting clean text counts double
     best = np.full(len(toxic), -np.inf)
     np.maximum.at(best, doc, scores())
@@ -376,14 +379,13 @@ def train(texts: list[str], toxic: list[int], setup: FitSetup = FitSetup()) -> M
     return Model(p, s, float((around[mid] + around[mid + 1]) / 2))
 
 
-def sample(docs: DataFrame, marks: DataFrame, setup: FitSetup = FitSetup()) -> tuple[list[str], list[int]]:
-    """A sample of labelled rows, bounded in rows only; whole texts, in the order of a hash of their ids."""
-    usable = marks.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic", F.xxhash64("doc_id", F.lit(setup.seed)).alias("draw"))
+def sample(docs: DataFrame, marks: DataFrame, setup: FitSetup = FitSetup()) -> DataFrame:
+    """draw, toxic and text of labelled documents, bounded in rows only: whole texts, chosen by a hash of
+    their ids.  Of rows that repeat an id the smallest text stands for all, so the bound holds."""
+    usable = marks.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", F.lit(setup.seed)).alias("draw")).distinct()
     few = usable.filter("toxic = 1").orderBy("draw").limit(setup.toxic_rows).union(usable.filter("toxic = 0").orderBy("draw").limit(setup.clean_rows))
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
-    rows = texts.join(F.broadcast(few), "doc_id").select("draw", "toxic", "text").collect()
-    rows.sort(key=lambda r: (r.draw, r.toxic, r.text))
-    return [r.text for r in rows], [r.toxic for r in rows]
+    return texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "draw", "toxic").agg(F.min("text").alias("text")).select("draw", "toxic", "text")
 
 
 def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -408,17 +410,38 @@ def held_out(id_col: F.Column) -> F.Column:
 
 
 def fit(docs: DataFrame, marks: DataFrame, setup: FitSetup = FitSetup()) -> Model | None:
-    """The contract's training rows: those that are not held out."""
-    model = train(*sample(docs, marks.filter(~held_out(F.col("doc_id"))), setup), setup)
-    gc.collect()
-    release()  # the driver goes on with other work
-    return model
+    """Train on the contract's rows, those that are not held out.
+
+    One task takes the bounded sample and trains; the driver only receives the model, and a lost
+    executor means that the task starts again.
+    """
+    rows = sample(docs, marks.filter(~held_out(F.col("doc_id"))), setup)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in (0, 1, 2))))
+        model = train([r[2] for r in found], [r[1] for r in found], setup)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else None
 
 
 def drop_toxic(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Documents that score below one half, all columns as they came."""
-    gone = score_documents(docs, fit(docs, marks)).filter("score >= 0.5").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Documents that score below one half, all columns as they came; each row is judged by its own text."""
+    model = fit(docs, marks)
+    if model is None:
+        return docs
+    held, place = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model)), docs.columns.index("text")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pickle.loads(held.value)
+        for batch in batches:
+            for at, to, offsets, raw in slices(batch.column(place)):
+                yield batch.slice(at, to - at).filter(pa.array(own.score(offsets, raw) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
