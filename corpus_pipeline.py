@@ -7,7 +7,8 @@ mix             each document appears as often as the mix takes it, rounded to w
 encode          one row a document: its number of tokens and digests of the ids and the decoded text
 
 A document that the mix takes less than half of is left out; documents without words are not in it.
-Labels are read from ``labels`` beside the table; those of held-out documents are not learned.
+Stages judge rows: rows that repeat an id, or have none, stand for themselves.  The intermediate tables of
+a stage are deleted when it is written.  Labels are read from ``labels`` beside the table; those of held-out documents are not learned.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpath.llm import bpe, exactdedup, mixing, neardup, toxicity
-from nearpath.llm.common import documents, labels, shared_dir
+from nearpath.llm.common import documents, labels, noted, shared_dir, sweep
 
 #: No SQL expresses a trained network or the tokenizer; the tests compare with a brute-force version.
 ORACLE_SQL = None
@@ -57,6 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     base = f"{shared_dir(spark)}/nearpath/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
+        before = len(noted(spark))
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        sweep(spark, before)
     return docs
