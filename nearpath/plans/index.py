@@ -50,9 +50,10 @@ class TrieIndex:
         family = family_for(self.lsh)
         coded = lambda c: collide.signatures(c, family).withColumnRenamed("hashes", "code")
         codes, asked = coded(self.data), coded(queries)
-        found = hamming.prefix_search(asked, codes, self.config).select("query", "candidate")
         if self.config.distance is None:
-            return found
-        q = asked.select(F.col("id").alias("query"), F.col("code").alias("qcode"))
-        c = codes.select(F.col("id").alias("candidate"), F.col("code").alias("ccode"))
-        return verify.by_sketch(found.join(q, "query").join(c, "candidate"), queries, self.data, self.config.radius, self.config.distance).select("query", "candidate")
+            return hamming.prefix_search(asked, codes, self.config).select("query", "candidate")
+        # candidates are what the tree yields; the early-exit count alone judges them
+        radius = self.config.radius
+        met = hamming.early_exit_search(asked, codes, radius, verify.sure_up_to(radius))
+        found = hamming.on_leaf(met, hamming.leaf_depths(codes, self.config), self.config.errors)
+        return verify.by_sketch(found, queries, self.data, radius, self.config.distance).select("query", "candidate")

@@ -9,6 +9,7 @@ _M64 = 1 << 64
 
 LINES = f"SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) AS ord, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem"
 EVENTS = "SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord, hour(ts)::DOUBLE AS x, value AS y FROM events"
+HOURS = "SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY hour(ts)) AS ord, hour(ts)::DOUBLE AS x, max(value) AS y FROM events GROUP BY user_id, hour(ts)"
 VECTORS = "SELECT vec_id AS id, i + 1 AS ord, embedding[2 * i + 1]::DOUBLE AS x, embedding[2 * i + 2]::DOUBLE AS y FROM embeddings, range(0, len(embedding) // 2) AS r(i)"
 
 
@@ -92,3 +93,43 @@ walk AS (SELECT query, candidate, n, m, i, j FROM free WHERE i = 1 AND j = 1
   UNION SELECT f.query, f.candidate, f.n, f.m, f.i, f.j FROM walk w JOIN free f ON f.query = w.query AND f.candidate = w.candidate
     AND f.i BETWEEN w.i AND w.i + 1 AND f.j BETWEEN w.j AND w.j + 1 AND f.i + f.j > w.i + w.j),
 near AS (SELECT query, candidate FROM walk WHERE i = n AND j = m)"""
+
+
+def starts_near(bound: float) -> str:
+    """CTE ``close``: the pairs of all curves whose first and last points are within the bound."""
+    width = bound * 1.001
+    return f"""ends AS (SELECT id, arg_min(x, ord) AS fx, arg_min(y, ord) AS fy, arg_max(x, ord) AS lx, arg_max(y, ord) AS ly, floor(arg_min(x, ord) / {width!r}) AS cx, floor(arg_min(y, ord) / {width!r}) AS cy FROM pts GROUP BY id),
+close AS (SELECT a.id AS query, b.id AS candidate FROM (SELECT ends.*, cx + i AS nx, cy + j AS ny FROM ends, range(-1, 2) AS r(i), range(-1, 2) AS s(j)) a JOIN ends b ON b.cx = nx AND b.cy = ny
+  WHERE (a.fx - b.fx) * (a.fx - b.fx) + (a.fy - b.fy) * (a.fy - b.fy) <= {bound * bound!r} AND (a.lx - b.lx) * (a.lx - b.lx) + (a.ly - b.ly) * (a.ly - b.ly) <= {bound * bound!r})"""
+
+
+ALL_PAIRS = "pairs AS (SELECT a.id AS query, b.id AS candidate FROM (SELECT DISTINCT id FROM pts) a, (SELECT DISTINCT id FROM pts) b)"
+
+
+def distances(pairs: str) -> str:
+    """CTE ``dist`` (query, candidate, distance): the recurrence, a list a row of it."""
+    return f"""curve_ AS (SELECT id, list(x ORDER BY ord) AS xs, list(y ORDER BY ord) AS ys FROM pts GROUP BY id),
+two AS (SELECT query, candidate, a.xs AS ax, a.ys AS ay, b.xs AS bx, b.ys AS bye FROM {pairs} JOIN curve_ a ON a.id = query JOIN curve_ b ON b.id = candidate),
+costs AS (SELECT query, candidate, list_transform(range(1, len(ax) + 1), lambda i: list_transform(range(1, len(bx) + 1), lambda j: (ax[i] - bx[j]) * (ax[i] - bx[j]) + (ay[i] - bye[j]) * (ay[i] - bye[j]))) AS c FROM two),
+ran AS (SELECT query, candidate, list_reduce(c[2:], lambda before, own: list_reduce(list_transform(range(1, len(own) + 1), lambda j: [least(before[j], coalesce(before[j - 1], before[j])), own[j]]),
+    lambda acc, v: list_append(acc, greatest(v[2], CASE WHEN len(acc) = 0 THEN v[1] ELSE least(v[1], acc[-1]) END)), []::DOUBLE[]),
+  list_reduce(list_transform(c[1], lambda v: [v]), lambda acc, v: list_append(acc, greatest(v[1], coalesce(acc[-1], 0.0))), []::DOUBLE[])) AS last FROM costs),
+dist AS (SELECT query, candidate, sqrt(last[-1]) AS distance FROM ran)"""
+
+
+def leaves(limits: list[float]) -> str:
+    """CTE ``leaf`` (id, depth) from ``code`` c0 to c7 by its levels, one-character labels, ids in order."""
+    node = lambda d: ", ".join(f"c{j} & {(1 << d) - 1}" for j in range(8))
+    ctes = ["l1 AS (SELECT code.*, NULL::BIGINT AS since FROM code)"]
+    for d, limit in enumerate(limits, 1):
+        n = int(-(-limit // 1))
+        ctes.append(f"""r{d} AS (SELECT *, row_number() OVER (PARTITION BY {node(d)} ORDER BY id) AS n, count(*) FILTER (id <= since) OVER (PARTITION BY {node(d)}) AS held FROM l{d}),
+s{d} AS (SELECT *, min(id) FILTER (n = greatest({n}, held + 1)) OVER (PARTITION BY {node(d)}) AS split FROM r{d}),
+l{d + 1} AS (SELECT id, {", ".join(f"c{j}" for j in range(8))}, split AS since FROM s{d} WHERE split IS NOT NULL{" AND false" if d == len(limits) else ""})""")
+    last = len(limits)
+    out = [f"SELECT id, {d}::BIGINT AS depth FROM s{d} WHERE split IS NULL" if d < last else f"SELECT id, {d} FROM s{d}" for d in range(1, last + 1)]
+    return ",\n".join(ctes) + ",\nleaf AS (" + " UNION ALL ".join(out) + ")"
+
+
+#: Characters 1 to 32 of ``code`` as a list, beside its columns.
+CHARACTERS = "chars AS (SELECT *, list_transform(range(0, 32), lambda i: (" + " | ".join(f"(((c{j} >> i) & 1) << {j})" for j in range(8)) + ")::INTEGER) AS path FROM code)"

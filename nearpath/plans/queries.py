@@ -8,18 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpath.config import LshConfig, TrieConfig
+from nearpath.config import LshConfig, TableConfig, TrieConfig
 from nearpath.functions import curves as C
 from nearpath.functions import sketch as S
 from nearpath.functions.frechet import with_distance
 from nearpath.functions.lsh import Family, linear_hash, multi_hash, perturbed_hash
 from nearpath.operators import collide, evaluate, hamming, preprocess, verify
 from nearpath.plans import oracles as O
-from nearpath.plans.index import family_for
+from nearpath.plans.index import TableIndex, TrieIndex, family_for
 from nearpath.sources import points as P
+from nearpath.sources.store import cut
 
 LINE_LSH = LshConfig(resolution=6.0, seed=11)
 VECTOR_LSH = LshConfig(resolution=0.9, seed=5)
+HOUR_LSH = LshConfig(resolution=120.0, seed=7)
 DISTANCE = 4.0
 FRACTION = 0.25
 RADIUS = 8
@@ -41,6 +43,10 @@ def vector_curves(spark: Spark, sf: str) -> DataFrame:
     return P.assemble(P.embedding_points(spark, sf))
 
 
+def hour_curves(spark: Spark, sf: str) -> DataFrame:
+    return P.assemble(P.hour_points(spark, sf))
+
+
 def line_signatures(spark: Spark, sf: str) -> DataFrame:
     return collide.signatures(line_curves(spark, sf), family_for(LINE_LSH))
 
@@ -56,6 +62,7 @@ def line_codes(spark: Spark, sf: str) -> DataFrame:
 _LINE = Family.draw(LINE_LSH, 64)
 _LINE_MOVED = Family.draw(LINE_LSH, 64, perturbed=True)
 _VECTOR = Family.draw(VECTOR_LSH, _SQL_POINTS)
+_HOUR = Family.draw(HOUR_LSH, 64)
 QUERIES, ORACLES = {}, {}
 
 
@@ -256,25 +263,46 @@ def hamming_early_exit(spark: Spark, sf: str) -> DataFrame:
     return verify.grey_zone(_vector_pairs(spark, sf), RADIUS)
 
 
+def _doubtful(codes: DataFrame) -> DataFrame:
+    """Pairs of codes that the early-exit count accepts or leaves in doubt."""
+    return hamming.early_exit_search(codes, codes, RADIUS, verify.sure_up_to(RADIUS))
+
+
 @query(f"WITH {O.signatures(O.VECTORS, _VECTOR)}, {O.codes(8)}, {_GREY} SELECT verdict, count(*) AS pairs FROM grey GROUP BY verdict")
 def verification_counters(spark: Spark, sf: str) -> DataFrame:
-    return verify.counters(verify.grey_zone(_vector_pairs(spark, sf), RADIUS))
+    codes = cut(vector_codes(spark, sf), "codes")
+    return verify.counters(verify.grey_zone(_doubtful(codes), RADIUS), codes.count() ** 2)
+
+
+_LEAVES = O.leaves(hamming.split_limits(TrieConfig()))
+_LOSSY = TrieConfig(errors=4)
 
 
-@query()
+@query(f"WITH {O.signatures(O.VECTORS, _VECTOR)}, {O.codes(8)}, {O.leaves(hamming.split_limits(_LOSSY))} SELECT a.id AS query, b.id AS candidate, bit_count({O.mask(8)})::INTEGER AS distance FROM code a, code b JOIN leaf ON leaf.id = b.id WHERE bit_count({O.mask(8)}) <= {RADIUS} AND bit_count(({O.mask(8)}) & ((1::BIGINT << depth) - 1)) <= 4")
 def prefix_search(spark: Spark, sf: str) -> DataFrame:
-    codes = vector_codes(spark, sf)
-    return hamming.prefix_search(codes, codes, TrieConfig(errors=4))
+    codes = cut(vector_codes(spark, sf), "codes")
+    return hamming.prefix_search(codes, codes, _LOSSY)
 
 
-@query()
+@query(f"WITH {O.signatures(O.LINES, _LINE)}, {O.codes(8)}, {_LEAVES} SELECT id, depth FROM leaf")
 def leaf_depths(spark: Spark, sf: str) -> DataFrame:
-    return hamming.leaf_depths(line_codes(spark, sf), TrieConfig())
+    return hamming.leaf_depths(cut(line_codes(spark, sf), "codes"), TrieConfig())
+
+
+def _tree(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    codes = cut(line_codes(spark, sf), "codes")
+    return codes, cut(hamming.leaf_depths(codes, TrieConfig()), "leaf-depths")
 
 
-@query()
+@query(f"WITH {O.signatures(O.LINES, _LINE)}, {O.codes(8)}, {_LEAVES}, {O.CHARACTERS}, n AS (SELECT level, path[1:level] AS node, max(depth) AS last FROM chars JOIN leaf USING (id), unnest(range(1, depth + 1)) AS u(level) GROUP BY 1, 2) SELECT (SELECT count(*) FROM leaf) AS size, (SELECT max(depth) FROM leaf) AS max_depth, (SELECT round(avg(depth), 6) FROM leaf) AS avg_depth, count(*) FILTER (last = level) AS leaves, count(*) FILTER (last > level) AS splits FROM n")
 def index_statistics(spark: Spark, sf: str) -> DataFrame:
-    return hamming.index_statistics(hamming.leaf_depths(line_codes(spark, sf), TrieConfig()))
+    codes, depths = _tree(spark, sf)
+    return hamming.index_statistics(codes, depths, TrieConfig())
+
+
+@query(f"WITH {O.signatures(O.LINES, _LINE)}, {O.codes(8)}, {_LEAVES}, {O.CHARACTERS} SELECT level::INTEGER AS level, array_to_string(path[1:level - 1], '.') AS prefix, path[level] AS label, count(*) AS sketches, max(depth) = level AS leaf FROM chars JOIN leaf USING (id), unnest(range(1, depth + 1)) AS u(level) GROUP BY 1, 2, 3, level")
+def tree_edges(spark: Spark, sf: str) -> DataFrame:
+    return hamming.tree_edges(*_tree(spark, sf))
 
 
 _CHAR = lambda i: "(" + " | ".join(f"(((c{j} >> {i}) & 1) << {j})" for j in range(8)) + ")::INTEGER"
@@ -287,13 +315,13 @@ def prefix_edges(spark: Spark, sf: str) -> DataFrame:
 
 # distances, verification, quality
 
-@query()
+@query(f"WITH pts AS ({O.EVENTS}), {O.ALL_PAIRS}, {O.distances('pairs')} SELECT query, candidate, round(distance, 6) AS distance FROM dist")
 def frechet_matrix(spark: Spark, sf: str) -> DataFrame:
     curves = event_curves(spark, sf)
     return evaluate.distance_matrix(curves, curves).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+@query(f"WITH {O.signatures(O.LINES, _LINE)}, {O.COLLIDE}, {O.distances('scored')} SELECT query, candidate, round(distance, 6) AS distance FROM dist")
 def frechet_of_collisions(spark: Spark, sf: str) -> DataFrame:
     curves, signed = line_curves(spark, sf), line_signatures(spark, sf)
     return with_distance(verify.attach(collide.collisions(signed, signed), curves, curves)).withColumn("distance", F.round("distance", 6))
@@ -313,100 +341,130 @@ def partial_verify_scores(spark: Spark, sf: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {O.signatures(O.VECTORS, _VECTOR)}, {O.codes(8)}, {_GREY}, doubt AS (SELECT query, candidate FROM grey WHERE verdict = 'check'), {O.reach('doubt', 0.3)} SELECT query, candidate, false AS verified FROM grey WHERE verdict = 'accept' UNION ALL SELECT query, candidate, true FROM near")
 def partial_verify_sketches(spark: Spark, sf: str) -> DataFrame:
+    curves, codes = vector_curves(spark, sf), cut(vector_codes(spark, sf), "codes")
+    return verify.by_sketch(_doubtful(codes), curves, curves, RADIUS, 0.3)
+
+
+@query(f"WITH RECURSIVE {O.signatures(O.VECTORS, _VECTOR)}, {O.codes(8)}, {O.leaves(hamming.split_limits(_LOSSY))}, {_GREY}, held AS (SELECT query, candidate, verdict FROM grey JOIN code a ON a.id = query JOIN code b ON b.id = candidate JOIN leaf ON leaf.id = candidate WHERE bit_count(({O.mask(8)}) & ((1::BIGINT << depth) - 1)) <= 4), doubt AS (SELECT query, candidate FROM held WHERE verdict = 'check'), {O.reach('doubt', 0.3)} SELECT query, candidate FROM held WHERE verdict = 'accept' UNION ALL SELECT query, candidate FROM near")
+def trie_index(spark: Spark, sf: str) -> DataFrame:
+    """The whole plan: tree search with few errors, then partial verification."""
     curves = vector_curves(spark, sf)
-    return verify.by_sketch(_vector_pairs(spark, sf), curves, curves, RADIUS, 0.3)
+    return TrieIndex(curves, VECTOR_LSH, TrieConfig(errors=4, distance=0.3)).query(curves)
 
 
-def _quality(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame, int]:
-    """Result: the pairs of at least four collisions. Truth: as in the SQL, the near ones of the colliding pairs;
-    near pairs that collide in no table are missing from it."""
-    curves, signed = line_curves(spark, sf), line_signatures(spark, sf)
-    scored = collide.scores(signed, signed)
-    return verify.verify_all(scored, curves, curves, DISTANCE), scored.filter("score >= 4"), curves.count()
+@query(f"WITH RECURSIVE {O.signatures(O.LINES, _LINE)}, {O.COLLIDE}, {_CUT}, low AS (SELECT query, candidate FROM scored, cut WHERE score <= cut), {O.reach('low', DISTANCE)} SELECT query, candidate FROM scored, cut WHERE score > cut UNION ALL SELECT query, candidate FROM near")
+def table_index(spark: Spark, sf: str) -> DataFrame:
+    """The whole plan: collisions, then partial verification."""
+    curves = line_curves(spark, sf)
+    return TableIndex(curves, LINE_LSH, TableConfig(distance=DISTANCE, verify_fraction=FRACTION)).query(curves)
+
+
+@query(f"WITH RECURSIVE pts AS ({O.LINES}), {O.starts_near(DISTANCE)}, {O.reach('close', DISTANCE)} SELECT query, candidate FROM near")
+def near_pairs(spark: Spark, sf: str) -> DataFrame:
+    """All pairs of curves within the distance, whether they collide or not: the truth of what follows."""
+    curves = line_curves(spark, sf)
+    return evaluate.near_pairs(curves, curves, DISTANCE)
 
 
-_TRUTH = f"WITH RECURSIVE {O.signatures(O.LINES, _LINE)}, {O.COLLIDE}, {O.reach('scored', DISTANCE)}, found AS (SELECT query, candidate FROM scored WHERE score >= 4), marks AS (SELECT coalesce(t.query, p.query) AS query, t.query IS NOT NULL AND p.query IS NOT NULL AS tp, t.query IS NULL AS fp, p.query IS NULL AS fn FROM near t FULL JOIN found p ON t.query = p.query AND t.candidate = p.candidate)"
+def _quality(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All near pairs; the result, the pairs of at least four collisions; the curves."""
+    curves = cut(line_curves(spark, sf), "curves")
+    signed = cut(collide.signatures(curves, family_for(LINE_LSH)), "signatures")
+    return evaluate.near_pairs(curves, curves, DISTANCE), collide.scores(signed, signed).filter("score >= 4"), curves
+
+
+_NEAR = f"{O.starts_near(DISTANCE)}, {O.reach('close', DISTANCE)}"
+_MARKS = "marks AS (SELECT coalesce(t.query, p.query) AS query, t.query IS NOT NULL AND p.query IS NOT NULL AS tp, t.query IS NULL AS fp, p.query IS NULL AS fn FROM near t FULL JOIN found p ON t.query = p.query AND t.candidate = p.candidate)"
+_TRUTH = f"WITH RECURSIVE {O.signatures(O.LINES, _LINE)}, {O.COLLIDE}, {_NEAR}, found AS (SELECT query, candidate FROM scored WHERE score >= 4), {_MARKS}"
 _SUMS = "count(*) FILTER (tp) AS tp, count(*) FILTER (fp) AS fp, count(*) FILTER (fn) AS fn"
 _RATES = "CASE WHEN tp + fp > 0 THEN round_even(tp / (tp + fp), 2) END AS precision, CASE WHEN tp + fn > 0 THEN round_even(tp / (tp + fn), 2) END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN round_even(2 * tp / (2 * tp + fp + fn), 2) END AS f1"
+_EACH = f"s AS (SELECT query, {_SUMS} FROM marks GROUP BY query), r AS (SELECT id AS query, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, " + ", ".join(f"CASE WHEN s.query IS NULL THEN 0.0 ELSE {m} END AS {m}" for m in ("precision", "recall", "f1")) + f" FROM (SELECT DISTINCT id FROM pts) LEFT JOIN (SELECT *, {_RATES} FROM s) s ON id = query)"
 
 
 @query(f"{_TRUTH}, s AS (SELECT {_SUMS} FROM marks), k AS (SELECT count(DISTINCT id) AS n FROM pts) SELECT tp, fp, fn, n * n - tp - fp - fn AS tn, {_RATES} FROM s, k")
 def confusion(spark: Spark, sf: str) -> DataFrame:
-    truth, found, n = _quality(spark, sf)
+    truth, found, curves = _quality(spark, sf)
+    n = curves.count()
     return evaluate.confusion(truth, found, n, n)
 
 
-@query(f"{_TRUTH}, s AS (SELECT query, {_SUMS} FROM marks GROUP BY query) SELECT query, tp, fp, fn, {_RATES} FROM s")
+@query(f"{_TRUTH}, {_EACH} SELECT query, tp, fp, fn, precision, recall, f1 FROM r")
 def scores_per_query(spark: Spark, sf: str) -> DataFrame:
-    truth, found, _ = _quality(spark, sf)
-    return evaluate.scores_per_query(truth, found)
+    return evaluate.scores_per_query(*_quality(spark, sf))
 
 
-@query(f"{_TRUTH}, s AS (SELECT query, {_SUMS} FROM marks GROUP BY query), r AS (SELECT query, {_RATES} FROM s) SELECT {', '.join(f'min({m}) AS min_{m}, max({m}) AS max_{m}, round(avg({m}), 6) AS avg_{m}' for m in ('precision', 'recall', 'f1'))} FROM r")
+@query(f"{_TRUTH}, {_EACH} SELECT {', '.join(f'min({m}) AS min_{m}, max({m}) AS max_{m}, round(avg({m}), 6) AS avg_{m}' for m in ('precision', 'recall', 'f1'))} FROM r")
 def quality_summary(spark: Spark, sf: str) -> DataFrame:
-    truth, found, _ = _quality(spark, sf)
-    return evaluate.summary(evaluate.scores_per_query(truth, found))
-
-
-def _whole_quality(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame, int]:
-    """The same result against all near pairs, which do not depend on the seed."""
-    curves, (_, found, n) = line_curves(spark, sf), _quality(spark, sf)
-    return evaluate.near_pairs(curves, curves, DISTANCE), found, n
+    return evaluate.summary(evaluate.scores_per_query(*_quality(spark, sf)))
 
 
-@query()
-def confusion_all_pairs(spark: Spark, sf: str) -> DataFrame:
-    truth, found, n = _whole_quality(spark, sf)
-    return evaluate.confusion(truth, found, n, n)
-
-
-@query()
-def scores_per_query_all_pairs(spark: Spark, sf: str) -> DataFrame:
-    truth, found, _ = _whole_quality(spark, sf)
-    return evaluate.scores_per_query(truth, found)
+_SEEDS = (11, 12, 13)
 
 
-@query()
-def quality_summary_all_pairs(spark: Spark, sf: str) -> DataFrame:
-    truth, found, _ = _whole_quality(spark, sf)
-    return evaluate.summary(evaluate.scores_per_query(truth, found))
+def _runs_sql() -> str:
+    """Confusion of each seed against the same truth, then best, worst and mean."""
+    family = lambda seed: Family.draw(LshConfig(resolution=LINE_LSH.resolution, seed=seed), 64)
+    found = " UNION ALL ".join(f"SELECT {seed} AS seed, query, candidate FROM (WITH {O.signatures(O.LINES, family(seed))}, {O.COLLIDE} SELECT query, candidate FROM scored WHERE score >= 4)" for seed in _SEEDS)
+    return f"""WITH RECURSIVE pts AS ({O.LINES}), {_NEAR}, found AS ({found}), seeds AS (SELECT unnest({list(_SEEDS)}) AS seed),
+truth AS (SELECT seed, query, candidate FROM seeds, near),
+s AS (SELECT coalesce(t.seed, p.seed)::INTEGER AS seed, count(*) FILTER (t.query IS NOT NULL AND p.query IS NOT NULL) AS tp, count(*) FILTER (t.query IS NULL) AS fp, count(*) FILTER (p.query IS NULL) AS fn
+      FROM truth t FULL JOIN found p ON t.seed = p.seed AND t.query = p.query AND t.candidate = p.candidate GROUP BY 1),
+k AS (SELECT count(DISTINCT id) AS n FROM pts),
+r AS (SELECT *, n * n - tp - fp - fn AS tn, {_RATES} FROM s, k)
+SELECT arg_max(seed, f1 * 1000 - seed) AS best_seed, max(f1) AS best_f1, arg_min(seed, f1 * 1000 + seed) AS worst_seed, min(f1) AS worst_f1, round(avg(f1), 6) AS avg_f1, {', '.join(f'round(avg({c}), 6) AS avg_{c}' for c in ('tp', 'fp', 'fn', 'tn'))} FROM r"""
 
 
-@query()
+@query(_runs_sql())
 def seed_summary(spark: Spark, sf: str) -> DataFrame:
     """Quality of three seeds against all near pairs; one short driver loop over seeds, not over data."""
-    curves, runs = line_curves(spark, sf), None
-    n = curves.count()
-    truth = evaluate.near_pairs(curves, curves, DISTANCE)
-    for seed in (11, 12, 13):
-        signed = collide.signatures(curves, family_for(LshConfig(resolution=6.0, seed=seed)))
+    curves = cut(line_curves(spark, sf), "curves")
+    n, runs = curves.count(), None
+    truth = cut(evaluate.near_pairs(curves, curves, DISTANCE), "truth")
+    for seed in _SEEDS:
+        signed = cut(collide.signatures(curves, family_for(LshConfig(resolution=LINE_LSH.resolution, seed=seed))), "signatures")
         found = collide.scores(signed, signed)
         one = evaluate.confusion(truth, found.filter("score >= 4"), n, n).withColumn("seed", F.lit(seed))
         runs = one if runs is None else runs.unionByName(one)
     return evaluate.by_seed(runs)
 
 
-@query(f"WITH p AS ({O.EVENTS}), v AS (SELECT unnest([1, 5, 10, 50, 90]) AS p), q AS (SELECT quantile_cont(y, [0.01, 0.05, 0.1, 0.5, 0.9]) AS v FROM p) SELECT p::INTEGER AS p, round(q.v[list_position([1, 5, 10, 50, 90], v.p)], 6) AS value FROM q, v")
-def percentiles(spark: Spark, sf: str) -> DataFrame:
-    return evaluate.percentiles(P.event_points(spark, sf), "y", (1, 5, 10, 50, 90))
+# hash distance against true distance, over all pairs of a stated set of curves
 
+_HOUR_PAIRS = f"WITH {O.signatures(O.HOURS, _HOUR)}, {O.ALL_PAIRS}, {O.distances('pairs')}, hs AS (SELECT id, list(hash ORDER BY t) AS hashes FROM sig GROUP BY id), m AS (SELECT query, candidate, len(list_filter(list_zip(a.hashes, b.hashes), lambda z: z[1] <> z[2]))::INTEGER AS differing, distance FROM dist JOIN hs a ON a.id = query JOIN hs b ON b.id = candidate)"
 
-_VEC_PAIRS = f"WITH {O.signatures(O.VECTORS, _VECTOR)}, hs AS (SELECT id, list(hash ORDER BY t) AS hashes FROM sig GROUP BY id), m AS (SELECT a.id AS query, b.id AS candidate, len(list_filter(list_zip(a.hashes, b.hashes), lambda z: z[1] <> z[2]))::INTEGER AS differing, list_sum(list_transform(list_zip(a.hashes, b.hashes), lambda z: (z[1] - z[2])::DOUBLE * (z[1] - z[2])::DOUBLE)) AS square FROM hs a, hs b)"
 
+def _hash_and_true(spark: Spark, sf: str) -> DataFrame:
+    curves = cut(hour_curves(spark, sf), "curves")
+    signed = collide.signatures(curves, family_for(HOUR_LSH))
+    return evaluate.vector_distances(signed, signed).join(evaluate.distance_matrix(curves, curves), ["query", "candidate"])
 
-@query(f"{_VEC_PAIRS} SELECT query, candidate, differing, round(sqrt(square) / 1e9, 6) AS euclidean FROM m")
-def hash_vector_distances(spark: Spark, sf: str) -> DataFrame:
-    signed = vector_codes(spark, sf).withColumnRenamed("code", "hashes")
-    return evaluate.vector_distances(signed, signed).withColumn("euclidean", F.round(F.col("euclidean") / 1e9, 6))
+
+@query(f"WITH pts AS ({O.HOURS}), {O.ALL_PAIRS}, {O.distances('pairs')}, v AS (SELECT unnest([1, 5, 10, 50, 90]) AS p), q AS (SELECT quantile_cont(distance, [0.01, 0.05, 0.1, 0.5, 0.9]) AS v FROM dist) SELECT p::INTEGER AS p, round(q.v[list_position([1, 5, 10, 50, 90], v.p)], 6) AS value FROM q, v")
+def percentiles(spark: Spark, sf: str) -> DataFrame:
+    curves = hour_curves(spark, sf)
+    return evaluate.percentiles(evaluate.distance_matrix(curves, curves), "distance", (1, 5, 10, 50, 90))
 
 
-@query(f"{_VEC_PAIRS} SELECT round(corr(differing, sqrt(square)), 6) AS pearson, count(*) AS pairs FROM m")
+@query(f"{_HOUR_PAIRS} SELECT round(corr(differing, distance), 6) AS pearson, count(*) AS pairs FROM m")
 def hash_correlation(spark: Spark, sf: str) -> DataFrame:
-    signed = vector_codes(spark, sf).withColumnRenamed("code", "hashes")
-    return evaluate.correlation(evaluate.vector_distances(signed, signed), "differing", "euclidean")
+    return evaluate.correlation(_hash_and_true(spark, sf), "differing", "distance")
 
 
-@query(f"{_VEC_PAIRS} SELECT floor(differing / 2.0)::BIGINT AS cell_a, floor(sqrt(square) / 1e9)::BIGINT AS cell_b, count(*) AS pairs FROM m GROUP BY 1, 2")
+@query(f"{_HOUR_PAIRS} SELECT floor(differing / 2.0)::BIGINT AS cell_a, floor(distance / 25.0)::BIGINT AS cell_b, count(*) AS pairs FROM m GROUP BY 1, 2")
 def histogram(spark: Spark, sf: str) -> DataFrame:
+    return evaluate.histogram2d(_hash_and_true(spark, sf), "differing", "distance", 2.0, 25.0)
+
+
+@query(f"WITH {O.signatures(O.HOURS, _HOUR)}, hs AS (SELECT id, list(hash ORDER BY t) AS h FROM sig GROUP BY id), m AS (SELECT a.id AS query, b.id AS candidate, list_reduce(list_transform(a.h, lambda x: [x]), lambda before, x: list_reduce(list_transform(range(1, len(b.h) + 1), lambda j: [before[j] + CASE WHEN x[1] = b.h[j] THEN 0 ELSE 1 END, before[j + 1] + 1]), lambda acc, v: list_append(acc, least(v[1], v[2], acc[-1] + 1)), [before[1] + 1]), range(0, len(b.h) + 1)) AS last FROM hs a, hs b) SELECT query, candidate, last[-1]::INTEGER AS edits FROM m")
+def hash_edit_distances(spark: Spark, sf: str) -> DataFrame:
+    signed = collide.signatures(hour_curves(spark, sf), family_for(HOUR_LSH))
+    return evaluate.edit_distances(signed, signed)
+
+
+_VEC_PAIRS = f"WITH {O.signatures(O.VECTORS, _VECTOR)}, hs AS (SELECT id, list(hash ORDER BY t) AS hashes FROM sig GROUP BY id), m AS (SELECT a.id AS query, b.id AS candidate, len(list_filter(list_zip(a.hashes, b.hashes), lambda z: z[1] <> z[2]))::INTEGER AS differing, list_sum(list_transform(list_zip(a.hashes, b.hashes), lambda z: (z[1] - z[2])::DOUBLE * (z[1] - z[2])::DOUBLE)) AS square FROM hs a, hs b)"
+
+
+@query(f"{_VEC_PAIRS} SELECT query, candidate, differing, round(sqrt(square) / 1e9, 6) AS euclidean FROM m")
+def hash_vector_distances(spark: Spark, sf: str) -> DataFrame:
     signed = vector_codes(spark, sf).withColumnRenamed("code", "hashes")
-    return evaluate.histogram2d(evaluate.vector_distances(signed, signed), "differing", "euclidean", 2.0, 1e9)
+    return evaluate.vector_distances(signed, signed).withColumn("euclidean", F.round(F.col("euclidean") / 1e9, 6))

@@ -27,7 +27,7 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 def assemble(points: DataFrame) -> DataFrame:
     """One row a trajectory, its points in order; one shuffle by id.  Null ids and coordinates are left out."""
     kept = points.filter("id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "x", "y")))
+    ordered = F.sort_array(F.collect_list(F.struct("ord", "x", "y")))
     return kept.groupBy("id").agg(F.transform(ordered, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("pts"))
 
 
@@ -55,6 +55,13 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("user_id").alias("id"), F.struct("ts", "event_id").alias("ord"), F.hour("ts").cast("double").alias("x"), F.col("value").alias("y"))
 
 
+def hour_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest value in each hour of the day as a curve of (hour, value) a user."""
+    t = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = t.groupBy(F.col("user_id").alias("id"), F.hour("ts").alias("ord")).agg(F.max("value").alias("y"))
+    return rows.select("id", "ord", F.col("ord").cast("double").alias("x"), "y")
+
+
 def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vector components as a curve."""
     t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -69,6 +76,18 @@ def read_polyline_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", F.posexplode("line").alias("ord", "p")).select("id", "ord", F.get("p", 1).alias("x"), F.get("p", 0).alias("y"))
 
 
+def write_polyline_csv(curves: DataFrame, path: str) -> None:
+    """The form that ``read_polyline_csv`` reads: longitude (y) first."""
+    line = F.to_json(F.transform("pts", lambda p: F.array(p["y"], p["x"])))
+    rows = curves.select(F.col("id").alias("TRIP_ID"), line.alias("POLYLINE"), F.lit("False").alias("MISSING_DATA"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+
+
+def write_points(curves: DataFrame, path: str) -> None:
+    """A point file: one row a point, those of a curve together and in order."""
+    curves.select("id", F.explode("pts").alias("p")).select("id", F.col("p.x").alias("lat"), F.col("p.y").alias("lon")).write.parquet(path)
+
+
 def read_trajectory_text(spark: SparkSession, path: str, points_each: int = 721, header: int = 4) -> DataFrame:
     """White-space tables (time lon lat ...), ``points_each`` rows a trajectory after the header lines."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("lines"))
@@ -137,9 +156,16 @@ def unpivot_matrix(matrix: DataFrame) -> DataFrame:
     return matrix.unpivot("id", names, "query", "distance").select(F.col("query").cast("long"), F.col("id").alias("candidate"), "distance")
 
 
-def read_results_json(spark: SparkSession, path: str) -> DataFrame:
-    """Pairs of a run's statistics file with ``candidates`` as {query: [candidate, ...]}."""
-    text = spark.read.text(path, wholetext=True)
+def write_results_json(pairs: DataFrame, path: str, name: str = "run") -> None:
+    """Statistics objects with ``candidates`` as {query: [candidate, ...]}, one a query and line."""
+    lists = pairs.groupBy("query").agg(F.array_sort(F.collect_list(F.col("candidate").cast("string"))).alias("found"))
+    lists.select(F.lit(name).alias("name"), F.create_map(F.col("query").cast("string"), F.col("found")).alias("candidates")).write.json(path)
+
+
+def read_results_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Pairs of a run's statistics file with ``candidates`` as {query: [candidate, ...]}; one object a
+    file, or a line."""
+    text = spark.read.text(path, wholetext=not lines)
     lists = F.from_json(F.get_json_object("value", "$.candidates"), "map<string,array<string>>")
     return text.select(F.explode(lists).alias("query", "found")).select(F.col("query").cast("long"), F.explode("found").alias("candidate")).select("query", F.col("candidate").cast("long"))
 

@@ -8,13 +8,15 @@ from nearpath.functions.lsh import Family
 from nearpath.operators.collide import signatures
 
 
-def append_signatures(curves: DataFrame, family: Family, table: str, checkpoint: str):
+def append_signatures(curves: DataFrame, family: Family, table: str, checkpoint: str, once: bool = False):
     """Start a query that appends the signatures of arriving trajectories (a streaming frame id, pts).
 
-    Each micro-batch is written once: a batch that is run again overwrites its own folder.
+    Each micro-batch is written once: a batch that is run again overwrites its own folder.  ``once`` ends
+    the query when all that has arrived is appended.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         signatures(batch, family).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    return curves.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+    writer = curves.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from nearpath.plans import files  # noqa: F401
 from nearpath.plans import queries as search
 
 SF = "/root/testdata/sf0.001"

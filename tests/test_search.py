@@ -68,6 +68,88 @@ def test_leaf_depths_follow_the_insertion_order(spark):
     assert all(d > 1 for d in got.values()) and len(set(got.values())) <= 2  # equal codes part nowhere, so leaves sink as they fill
 
 
+def plain_leaf_depths(rows, limit):
+    """Insertion one by one into a tree of one-character labels."""
+    path = lambda code: [sum((w >> i & 1) << j for j, w in enumerate(code)) for i in range(32)]
+    leaves, inner = {}, {()}
+    for i, code in rows:
+        p, d = path(code), 0
+        while tuple(p[:d]) in inner and d < 32:
+            d += 1
+        held = leaves.setdefault(tuple(p[:d]), [])
+        held.append((i, p))
+        if d < 32 and limit <= len(held):
+            inner.add(tuple(p[:d]))
+            for j, q in leaves.pop(tuple(p[:d])):
+                leaves.setdefault(tuple(q[: d + 1]), []).append((j, q))
+    return {i: len(k) for k, held in leaves.items() for i, _ in held}
+
+
+@pytest.mark.parametrize("at_once", [1, 4, 10**6])
+def test_leaf_depths_level_by_level(spark, codes, at_once):
+    """Few different codes, some very common: the same leaves whether a task builds a node or levels do."""
+    rng = random.Random(5)
+    base = [[rng.getrandbits(3) for _ in range(8)] for _ in range(3)]
+    rows = [(i, list(rng.choice(base))) for i in range(60)]
+    for _, code in rows[::3]:
+        code[rng.randrange(8)] ^= 1 << rng.randrange(5)
+    df = spark.createDataFrame(rows, "id long, code array<bigint>")
+    found = hamming.leaf_depths(df, TrieConfig(split_threshold=5), at_once=at_once)
+    assert {r.id: r.depth for r in found.collect()} == plain_leaf_depths(rows, 5) and found.count() == len(rows)
+
+
+def test_early_exit_search(spark, codes):
+    rows, df = codes
+    early = lambda a, b: next((n for k in range(1, 9) if (n := ham(a[:k], b[:k])) > 6), ham(a, b))
+    odd = [(500, [0xFF, 0xFF00, 0, 0, 0, 0, 0, 0]), (501, [0] * 8)]
+    both = spark.createDataFrame([*rows, *odd], "id long, code array<bigint>")
+    got = [(r["query"], r.candidate, r.prefix_distance) for r in hamming.early_exit_search(both, both, 8, 6).collect()]
+    want = {(q, c, early(a, b)) for q, a in rows + odd for c, b in rows + odd if early(a, b) <= 8}
+    assert set(got) == want and len(got) == len(want) and (500, 501, 8) in want  # 16 positions differ
+    plan = hamming.early_exit_search(both, both, 8, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "band" in plan
+
+
+def test_trie_index_judges_by_the_early_count(spark, curves, monkeypatch):
+    from nearpath.plans import index
+
+    rows = [(1, [0] * 8), (2, [0xFF, 0xFF00, 0, 0, 0, 0, 0, 0]), (3, [0x1FF] + [0] * 7)]
+    signed = spark.createDataFrame(rows, "id long, hashes array<bigint>")
+    monkeypatch.setattr(index.collide, "signatures", lambda *_: signed)
+    near = spark.createDataFrame([(i, [(0.0, 0.0)]) for i in (1, 2, 3)], "id long, pts array<struct<x:double,y:double>>")
+    got = {tuple(r) for r in TrieIndex(near, LSH, TrieConfig(distance=1.0)).query(near).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1), (2, 3), (3, 2)}  # nine differing positions in the first word are too many
+
+
+def test_tree_statistics(spark, codes):
+    rows, df = codes
+    config = TrieConfig(split_threshold=4)
+    depths = hamming.leaf_depths(df, config)
+    got = hamming.index_statistics(df, depths, config).first()
+    depth = {r.id: r.depth for r in depths.collect()}
+    path = {i: tuple(sum((w >> p & 1) << j for j, w in enumerate(code)) for p in range(depth[i])) for i, code in rows}
+    nodes = {p[:k] for p in path.values() for k in range(1, len(p) + 1)}
+    assert (got.size, got.leaves, got.splits, got.max_depth) == (len(rows), len(set(path.values())), len(nodes - set(path.values())), max(depth.values()))
+    edges = hamming.tree_edges(df, depths).collect()
+    assert len(edges) == len(nodes) and sum(e.sketches for e in edges if e.leaf) == len(rows)
+
+
+def test_edit_distance(spark):
+    rng = random.Random(1)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    rows = [([rng.randint(0, 3) for _ in range(rng.randint(0, 7))], [rng.randint(0, 3) for _ in range(rng.randint(0, 7))]) for _ in range(60)]
+    got = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").select("a", "b", evaluate.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r.d == plain(r.a, r.b) for r in got)
+
+
 def test_collisions(curves):
     signed = collide.signatures(curves, Family.draw(LSH, 8)).cache()
     rows = {r.id: r.hashes for r in signed.collect()}
@@ -98,6 +180,9 @@ def test_quality(spark):
     pairs = lambda *p: spark.createDataFrame(list(p), "query long, candidate long")
     got = evaluate.confusion(pairs((1, 1), (1, 2), (2, 2)), pairs((1, 1), (2, 3)), 3, 4).first()
     assert (got.tp, got.fp, got.fn, got.tn) == (1, 1, 2, 8) and (got.precision, got.recall, got.f1) == (0.5, 0.33, 0.4)
+    asked = spark.createDataFrame([(1,), (2,), (9,)], "id long")
+    each = {r["query"]: (r.tp, r.fp, r.fn, r.precision, r.recall, r.f1) for r in evaluate.scores_per_query(pairs((1, 1), (1, 2)), pairs((1, 1), (2, 3)), asked).collect()}
+    assert each == {1: (1, 0, 1, 1.0, 0.5, 0.67), 2: (0, 1, 0, 0.0, None, 0.0), 9: (0, 0, 0, 0.0, 0.0, 0.0)}
     nothing = evaluate.confusion(pairs((1, 1)).limit(0), pairs((1, 1)).limit(0), 3, 4).first()
     assert (nothing.tp, nothing.tn, nothing.precision) == (0, 12, None)
 
@@ -176,5 +261,7 @@ def test_truth_holds_near_pairs_that_never_collide(spark, monkeypatch):
     monkeypatch.setattr(queries, "line_curves", lambda *_: curves)
     r = queries.seed_summary(spark, "").first()
     assert r.avg_tp + r.avg_fn == near
-    r = queries.confusion_all_pairs(spark, "").first()
-    assert r.tp + r.fn == near > queries.confusion(spark, "").selectExpr("tp + fn").first()[0]
+    r = queries.confusion(spark, "").first()
+    assert r.tp + r.fn == near
+    signed = collide.signatures(curves, queries.family_for(queries.LINE_LSH))
+    assert near > verify.verify_all(collide.scores(signed, signed), curves, curves, 4.0).count()  # some never collide
