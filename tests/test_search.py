@@ -1,5 +1,6 @@
 """Searches, sources, streaming and quality measures."""
 
+import json
 import random
 import struct
 
@@ -236,7 +237,22 @@ def test_command_line(spark, tmp_path, capsys):
     run.main(["query", "--data", str(tmp_path / "d.parquet"), "--queries", str(tmp_path / "d.parquet"), "-c", str(tmp_path / "c.toml"), "--out", str(tmp_path / "out")])
     assert '"queries_with_candidates": 20' in capsys.readouterr().out
     assert {(i, i) for i in range(20)} <= {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert run.list_datasets(tmp_path) == [str(tmp_path / "d.parquet")] and len(list(run.grid(k=[2, 3], l=[8, 16]))) == 4
+    flags = ["--resolution", "3", "-l", "8", "--bits", "8", "--errors", "8"]
+    run.main(["build", "--data", str(tmp_path / "d.parquet"), *flags, "--out", str(tmp_path / "sig2"), "--steps", "3"])
+    stats = json.loads(capsys.readouterr().out)
+    assert stats["index_stats"]["size"] == stats["trajectories"] == 20 and 1 <= len(stats["mem"]) <= 3 and "20" in stats["mem"]
+    signed = lambda name: {tuple([r.id, *r.hashes]) for r in spark.read.parquet(str(tmp_path / name)).collect()}
+    assert signed("sig") == signed("sig2") and len(signed("sig")) == 20
+    run.main(["query", "--data", str(tmp_path / "d.parquet"), "--queries", str(tmp_path / "d.parquet"), "--resolution", "3", "--distance", "1", "--verify-fraction", "1", "--out", str(tmp_path / "out2"), "--candidates", str(tmp_path / "json")])
+    stats = json.loads(capsys.readouterr().out)
+    found = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out2")).collect()}
+    assert {tuple(r) for r in P.read_results_json(spark, str(tmp_path / "json"), lines=True).collect()} == found and stats["index_query_size"] == len(found)
+    assert stats["config"]["index"] == {"distance": 1.0, "verify_fraction": 1.0} and stats["dataset_load"] >= 0
+    with pytest.raises(SystemExit):
+        run.main(["build", "--data", "x", "--out", "y"])
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "e.parquet").mkdir()
+    assert run.list_datasets(spark, str(tmp_path)) == [str(tmp_path / "d.parquet"), str(tmp_path / "deep" / "e.parquet")] and len(list(run.grid(k=[2, 3], l=[8, 16]))) == 4
 
 
 def test_polyline_and_json(spark, tmp_path):
