@@ -187,7 +187,7 @@ def sanitise(docs: DataFrame, setup: Sanitiser = Sanitiser(), id_col: str = "doc
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("__mark"))
-    own = found.select("doc_id", "mark", F.array_sort(marks).alias("marks")).dropDuplicates(["doc_id", "mark"])
+    own = found.select("doc_id", "mark", F.sort_array(marks).alias("marks")).dropDuplicates(["doc_id", "mark"])
     rows = rows.join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left")
 
     # spans of two kinds may overlap; the first one stands, and all of both goes

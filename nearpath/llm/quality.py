@@ -59,7 +59,7 @@ def _repeat_words(words: Column) -> Column:
         def same(i: Column, j: Column) -> Column:
             return F.get(ranked, i)["gram"] == F.get(ranked, j)["gram"]
 
-        places = F.array_sort(
+        places = F.sort_array(
             F.transform(
                 F.filter(F.sequence(F.lit(0), last), lambda i: F.coalesce((i > 0) & same(i, i - 1), F.lit(False)) | F.coalesce((i < last) & same(i, i + 1), F.lit(False))),
                 lambda i: F.get(ranked, i)["at"],
@@ -75,7 +75,7 @@ def _repeat_words(words: Column) -> Column:
         )
 
     def grams(w: Column) -> Column:
-        return F.array_sort(
+        return F.sort_array(
             F.transform(
                 F.sequence(F.lit(0), F.size(w) - 3),
                 lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("gram"), i.alias("at")),
