@@ -43,4 +43,4 @@ def candidates_per_query(pairs: DataFrame) -> DataFrame:
 
 
 def candidates_by_query(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("query").agg(F.array_sort(F.collect_list("candidate")).alias("candidates"))
+    return pairs.groupBy("query").agg(F.sort_array(F.collect_list("candidate")).alias("candidates"))

@@ -158,7 +158,7 @@ def unpivot_matrix(matrix: DataFrame) -> DataFrame:
 
 def write_results_json(pairs: DataFrame, path: str, name: str = "run") -> None:
     """Statistics objects with ``candidates`` as {query: [candidate, ...]}, one a query and line."""
-    lists = pairs.groupBy("query").agg(F.array_sort(F.collect_list(F.col("candidate").cast("string"))).alias("found"))
+    lists = pairs.groupBy("query").agg(F.sort_array(F.collect_list(F.col("candidate").cast("string"))).alias("found"))
     lists.select(F.lit(name).alias("name"), F.create_map(F.col("query").cast("string"), F.col("found")).alias("candidates")).write.json(path)
 
 
