@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearpath.functions.lsh import Family, sign
+from nearpath.sources.store import cut
 
 
 def signatures(curves: DataFrame, family: Family) -> DataFrame:
@@ -16,11 +17,29 @@ def buckets(signed: DataFrame) -> DataFrame:
     return signed.select("id", F.posexplode("hashes").alias("t", "hash"))
 
 
-def scores(queries: DataFrame, data: DataFrame) -> DataFrame:
-    """(query, candidate, score): in how many tables the two signatures collide."""
+def _met(queries: DataFrame, data: DataFrame, at_once: int) -> DataFrame:
+    """(query, candidate) once for each table in which they share a bucket.
+
+    Buckets of more than ``at_once`` candidates, the 10,000 largest of them at most, are dealt to several
+    tasks by the candidate, and their queries go to all of these.
+    """
     q = buckets(queries).select("t", "hash", F.col("id").alias("query"))
     c = buckets(data).select("t", "hash", F.col("id").alias("candidate"))
-    return q.join(c, ["t", "hash"]).groupBy("query", "candidate").agg(F.count("*").cast("int").alias("score"))
+    heavy = c.groupBy("t", "hash").count().filter(F.col("count") > at_once).orderBy(F.desc("count")).limit(10_000)
+    heavy = cut(heavy.select("t", "hash", F.ceil(F.col("count") / at_once).alias("parts")), "heavy")
+    if heavy.isEmpty():
+        return q.join(c, ["t", "hash"]).select("query", "candidate")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    c = c.join(F.broadcast(heavy), ["t", "hash"], "left").select("t", "hash", "candidate", F.pmod(F.xxhash64("candidate"), parts).alias("part"))
+    q = q.join(F.broadcast(heavy), ["t", "hash"], "left").select("t", "hash", "query", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    return q.join(c, ["t", "hash", "part"]).select("query", "candidate")
+
+
+def scores(queries: DataFrame, data: DataFrame, at_once: int = 4096) -> DataFrame:
+    """(query, candidate, score): in how many tables the two signatures collide."""
+    same = queries is data
+    data = cut(data, "signatures")  # read more than once
+    return _met(data if same else queries, data, at_once).groupBy("query", "candidate").agg(F.count("*").cast("int").alias("score"))
 
 
 def collisions(queries: DataFrame, data: DataFrame) -> DataFrame:

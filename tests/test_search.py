@@ -157,6 +157,9 @@ def test_collisions(curves):
     want = {(q, c, n) for q, a in rows.items() for c, b in rows.items() if (n := sum(x == y for x, y in zip(a, b)))}
     assert {tuple(r) for r in collide.scores(signed, signed).collect()} == want
     assert all((i, i, 8) in want for i in rows)
+    assert {tuple(r) for r in collide.scores(signed, signed, at_once=2).collect()} == want  # most buckets are dealt
+    some = signed.filter("id < 9")
+    assert {tuple(r) for r in collide.scores(some, signed, at_once=3).collect()} == {w for w in want if w[0] < 9}
     assert {r.t: r.distinct_hashes for r in collide.distinct_hashes(signed).collect()} == {t: len({h[t] for h in rows.values()}) for t in range(8)}
 
 
