@@ -55,3 +55,81 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, repeated and missing ids, empty texts, clashing names: each stage against a plain version of it."""
+    import hashlib
+    import random
+    import re
+
+    import public_tokenizers
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    from nearpath.llm import mixing, toxicity
+    from nearpath.llm.common import row_key
+    from tests.llm.test_corpus import SCHEMA, make_rows
+    from tests.llm.test_exactness import plain_scores
+
+    rng = random.Random(3)
+    rows = make_rows()
+    rows += [(5, "another text of the same id", "en", "s0", 0, None, 1, "a"), (5, rows[20][1], "en", "s1", 0, None, 1, "a"), (None, rows[20][1] + " x", None, None, None, None, None, None), rows[12], rows[12]]
+    rows += [(1000 + i, " ".join(rng.choices("the of stone light river".split(), k=20)) + (" vilest" if i % 3 == 0 else f" n{i}"), "en", "s0", 1, True, 1, "z") for i in range(60)]
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1000 + i, None, int(i % 3 == 0)) for i in range(60)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept, columns = [list(map(tuple, docs.collect()))], docs.columns
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, folder).write.parquet(str(tmp_path / name))
+        if name == "near_dedup":
+            assert stage(spark, docs.limit(0), folder).count() == 0
+        if name == "mix":
+            mixed = {r.k: (r.size, r.taken) for r in mixing.mix(docs.withColumn("k", row_key(docs)), id_col="k").withColumnRenamed("doc_id", "k").collect()}
+            keyed = [(r.k, tuple(r)[:-1]) for r in docs.withColumn("k", row_key(docs)).collect()]
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns or n == 4
+        kept.append(list(map(tuple, docs.collect())))
+    count = collections.Counter
+
+    model = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    scores = plain_scores([r[1] for r in kept[0]], model)
+    assert count(kept[1]) == count(r for r, s in zip(kept[0], scores) if s < 0.5) and any(s >= 0.5 for s in scores)
+
+    owners = {}
+    for r in kept[1]:
+        owners.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or ""), []).append(r)
+    by_id = lambda r: (r[0] is None, r[0] or 0)
+    left = count(kept[2])
+    assert sum(left.values()) == len(owners) and left <= count(kept[1])
+    assert all(min(map(by_id, group)) in [by_id(r) for r in group if left[r]] and sum(left[r] for r in set(group)) == 1 for group in owners.values())
+
+    def shingles(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, group = [shingles(r[1]) for r in kept[2]], list(range(len(kept[2])))
+    find = lambda x: x if group[x] == x else find(group[x])
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                group[find(i)] = find(j)
+    linked = collections.defaultdict(list)
+    for i, r in enumerate(kept[2]):
+        linked[find(i)].append(r)
+    left = count(kept[3])
+    assert sum(left.values()) == len(linked) < len(kept[2])
+    assert all(sum(left[r] for r in rs) == 1 and min(map(by_id, rs)) in [by_id(r) for r in rs if left[r]] for rs in linked.values())
+
+    want = count()
+    for k, r in keyed:
+        size, taken = mixed[k]
+        want[r] += int(taken / max(size, 1) + 0.5)
+    assert count(kept[4]) == +want
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    encoded = [(r[0], tok.encode(r[1] or "", add_special_tokens=False).ids) for r in kept[4]]
+    assert count(kept[5]) == count((i, len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))) for i, ids in encoded)
