@@ -7,10 +7,11 @@ with the smallest hash.  Equal windows have equal minimizers, so only windows wh
 repeats can repeat.
 
 1. Nodes are minimizer k-mers; the stretch of words from one to the end of the next is an edge.
-   Entries (k-mer, next edge, source coordinate) meet by k-mer.  A node that occurs once is
-   dropped.  A node whose occurrences all leave by the same edge does not branch.
+   Entries (k-mer, edges on both sides, source coordinate) meet by k-mer.  A node that occurs once is
+   dropped.  A node whose occurrences are all entered and left by the same edges does not branch.
 2. The marks return to their sources by a join on the document.  Consecutive nodes that do not
-   branch compact into paths; windows inside a path repeat.  The remaining windows with a repeated
+   branch compact into paths, up to the ends of the edges around them.  A window inside such a path whose
+   minimizer does not branch repeats wherever that minimizer does.  The remaining windows with a repeated
    minimizer are verified at their source coordinates: they meet by the digest of their words.
 3. The repeated windows return to their documents, and the words under them are removed.
 
@@ -138,11 +139,12 @@ class Graph:
         self.nodes = self.nodes[self.kmers[self.nodes] != 0]
 
     def edges(self) -> np.ndarray:
-        """Digest of the stretch from each node to the end of the next in its document; 0 at the last."""
+        """Digest of the stretch from the node before each to the end of the one after it; 0 where its
+        document has none on a side."""
         out = np.zeros(len(self.nodes), dtype=DIGEST)
         doc = self.words.doc[self.nodes]
-        follows = np.flatnonzero(doc[:-1] == doc[1:])
-        out[follows] = self.words.digests(self.nodes[follows], self.nodes[follows + 1] + self.kmer)
+        inner = np.flatnonzero((doc[:-2] == doc[1:-1]) & (doc[1:-1] == doc[2:])) + 1
+        out[inner] = self.words.digests(self.nodes[inner - 1], self.nodes[inner + 1] + self.kmer)
         return out
 
 
@@ -264,17 +266,18 @@ class Repeats:
                 plain[w.first[d] + places[a:b]] = straight[a:b] > 0
             kept = np.where(repeated[: len(g.kmers)], g.kmers, _U(0xFFFFFFFFFFFFFFFF))
             candidate = g.valid & (_sliding(kept, g.reach, np.minimum)[: g.windows] == g.least)
-            # paths: consecutive nodes that do not branch
+            # paths: consecutive nodes that do not branch, with the edges that enter and leave them
             inside = np.zeros(g.windows + 1, dtype=np.int32)
             go = plain[g.nodes]
-            heads = np.flatnonzero(go & ~np.r_[False, go[:-1] & (w.doc[g.nodes[1:]] == w.doc[g.nodes[:-1]])]) if len(go) else go
-            tails = np.flatnonzero(go & ~np.r_[go[1:] & (w.doc[g.nodes[1:]] == w.doc[g.nodes[:-1]]), False]) if len(go) else go
-            low = g.nodes[heads]
-            high = g.nodes[tails + 1] + self.kmer - self.span + 1  # the last node of a path has a next one
+            follows = np.r_[False, go[:-1] & (w.doc[g.nodes[1:]] == w.doc[g.nodes[:-1]])] if len(go) else go
+            heads, tails = np.flatnonzero(go & ~follows), np.flatnonzero(go & ~np.r_[follows[1:] & go[1:], False])
+            low = g.nodes[heads - 1]
+            high = g.nodes[tails + 1] + self.kmer - self.span + 1
             fits = high > low
             np.add.at(inside, low[fits], 1)
             np.add.at(inside, high[fits], -1)
-            on_path = np.cumsum(inside[:-1]) > 0
+            straight_ = np.where(plain[: len(g.kmers)], g.kmers, _U(0xFFFFFFFFFFFFFFFF))
+            on_path = (np.cumsum(inside[:-1]) > 0) & (_sliding(straight_, g.reach, np.minimum)[: g.windows] == g.least)
             open_ = np.flatnonzero(candidate & ~on_path)
             known = on_path & g.valid
             digest = w.digests(open_, open_ + self.span)

@@ -131,6 +131,37 @@ def test_substring_tells_words_apart(spark):
     assert sorted((r.doc_id, r.n_removed) for r in substring.remove_repeats(again).collect()) == [(1, 0), (2, 35), (2, 35)]
 
 
+def test_substring_of_passages_entered_and_left_anywhere(spark):
+    """Copies that begin and end at any word of a few passages, in one slice or many."""
+    rng = random.Random(40)
+    span, kmer = 9, 4
+    passages = [[f"p{k}w{rng.randint(0, 30)}" for _ in range(60)] for k in range(6)]
+    texts = []
+    for i in range(500):
+        w = []
+        for _ in range(rng.randint(1, 3)):
+            p, a = rng.choice(passages), rng.randint(0, 50)
+            w += p[a : a + rng.randint(3, 30)] + [f"x{i}y{j}" for j in range(rng.randint(0, 4))]
+        texts.append(" ".join(w))
+    # few copies a stretch: most nodes do not branch
+    texts += [" ".join([f"q{i // 2}w{j}" for j in range(rng.randint(0, 12), 40 - rng.randint(0, 12))]) for i in range(300)]
+    texts += [" ".join([f"q{i}w{j}" for j in range(a, a + 14)]) for i in range(0, 150, 3) for a in (rng.randint(0, 20),)]
+    rng.shuffle(texts)
+    split = [t.split() for t in texts]
+    count = collections.Counter(tuple(w[k : k + span]) for w in split for k in range(len(w) - span + 1))
+    want = {}
+    for i, w in enumerate(split):
+        gone = set()
+        for k in range(len(w) - span + 1):
+            if count[tuple(w[k : k + span])] > 1:
+                gone.update(range(k, k + span))
+        want[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 16):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(docs.repartition(parts), span, kmer).collect()}
+        assert got == want
+
+
 def test_near_groups_tell_words_apart(spark):
     x, y = twins()
     docs = spark.createDataFrame([(1, x), (2, y), (3, f"{x} a b c d"), (4, f"{y} a b c d"), (5, x.upper())], "doc_id long, text string")
