@@ -38,15 +38,22 @@ class Setup:
     margin_bits: float = 0.05
 
 
+#: ``\w`` also takes numbers that are no digits, such as one half; those of Latin-1 are named here.
+_NOT_LETTERS = re.compile(r"[\W\d_²³¹¼-¾]+")
+_BEYOND_LATIN = re.compile("[^\x00-\u02ff]")
+
+
 @functools.cache
-def _not_letters() -> re.Pattern:
-    """Runs of characters that are no letters; ``\\w`` alone would take numbers such as one half too."""
-    numbers = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-    return re.compile(rf"[\W\d_{numbers}]+")
+def _numbers() -> dict[int, str]:
+    """The others, as spaces; there are none from U+0100 to U+02FF."""
+    return {c: " " for c in range(0x300, sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha()}
 
 
 def letters(text: str) -> bytes:
-    return _not_letters().sub(" ", text.lower()).strip().encode()
+    text = text.lower()
+    if _BEYOND_LATIN.search(text):
+        text = text.translate(_numbers())
+    return _NOT_LETTERS.sub(" ", text).strip().encode()
 
 
 def fit(labelled: DataFrame, setup: Setup = Setup(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
