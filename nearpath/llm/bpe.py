@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpath.llm import lexicon
-from nearpath.llm.common import documents, kept, release, tidy
+from nearpath.llm.common import documents, kept, tidy, tidy_driver
 
 #: Most frequent words of the corpus that are compiled; bounds the broadcast.
 LEXICON_WORDS = 50_000
@@ -255,7 +255,7 @@ def encoder(docs: DataFrame, path: str | None = None, text_col: str = "text"):
     """A function, for use in tasks, that returns the worker's tokenizer with the corpus lexicon."""
     path = path or default_path("word_bpe_49k.json")
     block = compile_lexicon(frequent_words(docs, text_col=text_col), path)
-    release()  # the driver goes on with other work
+    tidy_driver(docs.sparkSession)
     held = _Keyed(docs.sparkSession.sparkContext.broadcast(block), hashlib.sha256(block).hexdigest())
     return lambda: _worker(path, held.name, held)
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearpath.sources.store import cut, intermediate, noted, shared_dir, sweep  # noqa: F401  (for the operators)
+
 #: Fixed values of the operator contract: a word is a maximal run outside these separators.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,57 +28,26 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named, a temporary one, for sessions of one machine only."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = getattr(spark.sparkContext, "_nearpath_shared", None) or tempfile.mkdtemp(prefix="nearpath-")
-        spark.sparkContext._nearpath_shared = named
-    return named.rstrip("/")
-
-
-def intermediate(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, noted for ``sweep``."""
-    path = f"{shared_dir(spark)}/nearpath/{name}-{uuid.uuid4().hex}"
-    spark.sparkContext._nearpath_paths = [*noted(spark), path]
-    return path
-
-
-def noted(spark: SparkSession) -> list[str]:
-    return getattr(spark.sparkContext, "_nearpath_paths", [])
-
-
-def sweep(spark: SparkSession, before: int = 0) -> None:
-    """Delete the intermediate tables noted after the first ``before``; for when the results that read
-    them lazily are written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in noted(spark)[before:]:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-    spark.sparkContext._nearpath_paths = noted(spark)[:before]
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = intermediate(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def kept(df: DataFrame) -> DataFrame:
     """A small frame that is read more than once: held by the executors, recomputed where one is lost."""
     return df.persist()
 
 
+def tidy_driver(spark: SparkSession) -> None:
+    """Between the many jobs of an operator: plans that nobody refers to go, with their shuffle files and
+    broadcasts, and the driver's heap shrinks to what is left."""
+    gc.collect()
+    release()
+    spark._jvm.System.gc()
+
+
 def settled(df: DataFrame, name: str, rows_a_file: int = 500_000) -> DataFrame:
     """``cut`` for frames of small rows: computed at full width, written in as few files as its size asks for."""
     held = df.persist()
     spark, path = df.sparkSession, intermediate(df.sparkSession, name)
     held.coalesce(held.count() // rows_a_file + 1).write.parquet(path)
     held.unpersist()
+    tidy_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -97,7 +67,7 @@ def row_key(df: DataFrame) -> Column:
     return F.xxhash64(*names, F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in names]))
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
+def unused_names(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that the frame does not have."""
     taken, out = {c.lower() for c in df.columns}, []
     for name in names:

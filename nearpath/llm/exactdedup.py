@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import SPACES, documents, fresh, row_key, settled, tidy
+from nearpath.llm.common import SPACES, documents, row_key, settled, tidy, unused_names
 
 #: Bytes of trie (labels plus a fixed charge a node) before a subtree is spilled.
 SCAN_BYTES = 48 << 20
@@ -228,7 +228,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     big = owners.filter(F.col("group_size") > least).select(F.col("digest").alias("big"), F.col("keep_id").alias("big_id"), F.col("group_size").alias("big_size"))
     met = rows.join(F.broadcast(big), F.col("digest") == F.col("big"), "left")
     # rows of the largest groups are done: their key, of another length, spreads them and meets nothing
-    key = F.when(F.col("big").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id").cast("string").cast("binary"))
+    aside = F.xxhash64("doc_id", F.spark_partition_id()).cast("string").cast("binary")
+    key = F.when(F.col("big").isNull(), F.col("digest")).otherwise(aside)
     met = met.withColumn("key", key).join(owners.select(F.col("digest").alias("own"), "keep_id", "group_size"), F.col("key") == F.col("own"), "left")
     keep_id = F.when(F.col("big").isNull(), F.col("keep_id")).otherwise(F.col("big_id"))
     size = F.when(F.col("big").isNull(), F.col("group_size")).otherwise(F.col("big_size"))
@@ -244,7 +245,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     Rows are judged, not ids: other texts under the same id stay.  Of rows alike in all columns one stays.
     """
-    key, = fresh(docs, "key")
+    key, = unused_names(docs, "key")
     owners = text_owners(docs).select(F.col("digest").alias("own"), "keep_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), _digest(F.col("text")).alias("digest"), row_key(docs).alias("row"))
     # the owner's id is part of the key, so the copies of a text are not gathered

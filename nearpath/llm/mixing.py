@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import WORD, cut, documents, fresh, kept, row_key, word_count
+from nearpath.llm.common import WORD, cut, documents, row_key, tidy_driver, unused_names, word_count
 
 _SPAN = 1 << 32
 #: Fixed value: 2**32 divided by the golden ratio, odd.
@@ -128,7 +128,8 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), **columns: str) -> DataFrame
     n_slots = int(-(-total // block) * (1 + plan.slack)) + 64
     if n_slots >= 1 << 31:
         raise ValueError("at most 2**31 slots: the 32-bit points would repeat")
-    per_source = kept(targets(sizes, plan))
+    per_source = cut(targets(sizes, plan).coalesce(1), "mix-sources")  # one row a source
+    tidy_driver(docs.sparkSession)
     digits = max(1, (max(1, n_docs // 500).bit_length() + 3) // 4)
     rows = sizes.withColumn("key", F.md5(F.concat(F.lit(plan.seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
     rows = rows.withColumn("chunk", F.substring("key", 1, digits))
@@ -165,10 +166,11 @@ def resample(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     Rows are mixed, not ids, so rows that repeat an id, or have none, come as often as each is taken.
     Rows alike in all columns come as often as they are taken together.
     """
-    key, times, copy = fresh(docs, "key", "times", "copy")
+    key, times, copy = unused_names(docs, "key", "times", "copy")
     rows = docs.withColumn(key, row_key(docs))
     taken = mix(rows, plan, id_col=key).select(F.col("doc_id").alias(key), F.expr("cast(floor(taken / greatest(size, 1) + 0.5) as int)").alias(times))
     taken = cut(taken.groupBy(key).agg(F.sum(times).cast("int").alias(times), F.count("*").alias(copy)), "mix-times")
+    tidy_driver(docs.sparkSession)
     if not taken.filter(F.col(copy) > 1).isEmpty():
         rows = rows.dropDuplicates()
     joined = rows.join(taken.filter(F.col(times) > 0).drop(copy), key)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import SPACES, buckets_for, cut, documents, fresh, row_key, settled, tidied, tidy
+from nearpath.llm.common import SPACES, buckets_for, cut, documents, row_key, settled, tidied, tidy, tidy_driver, unused_names
 from nearpath.llm.substring import _ANSWER, _MARK, _PACKED_SQL, _QUERY, Entries, Once, _bucket, _columns, _runs, _text, pack
 from nearpath.llm.wordcore import Tokens, slices
 
@@ -282,15 +282,45 @@ class SetJoin:
 _PACKED_ARROW = [("bucket", pa.int32()), ("kind", pa.int32()), *[(n, pa.binary()) for n in ("ids", "tags", "counts", "a", "b", "c")]]
 
 
-def components(links: DataFrame, name: str = "links") -> DataFrame:
+def _contract(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links as stars around the smallest node of what they connect, ``limit`` links at a time."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*pairs) if pairs else ((), ()))], names=["u", "v"])
+
+    held = 0
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            x, y = root(u), root(v)
+            parent[max(x, y)] = min(x, y)
+            held += 1
+            if held % limit == 0:
+                yield stars()
+                parent.clear()
+    yield stars()
+
+
+def components(links: DataFrame, name: str = "links", at_once: int = 500_000) -> DataFrame:
     """(node, component) of every node with a link (a, b); component is the smallest node.
 
-    Each round is written to the shared folder.
+    Tasks first contract their own links, ``at_once`` at a time; if that was one task and one lot, the
+    components are whole.  Otherwise rounds of large-star and small-star steps follow, each written to the
+    shared folder.
     """
-    edges = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
+    plain = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    edges = settled(plain, name, at_once)
+    whole = edges.rdd.getNumPartitions() <= 1 and edges.count() < at_once
+    edges = settled(edges.mapInArrow(tidy(lambda b: _contract(at_once, b)), "u long, v long"), name)
     signature = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = signature(edges)
-    while True:
+    before = None if whole else signature(edges)
+    while not whole:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         moved = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -298,9 +328,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         moved = moved.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = settled(moved, name)
         after = signature(edges)
-        if after == before:
-            break
-        before = after
+        whole, before = after == before, after
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -353,9 +381,10 @@ def shingle_links(docs: DataFrame, setup: JoinSetup = JoinSetup(), id_col: str =
     parts = max(1, sets.rdd.getNumPartitions())
     heavy_df = max(256, 4 * parts, 2 * tokens // setup.heavy_tokens)
     local = max(2, heavy_df // (2 * parts))
-    heavy = sets.mapInArrow(tidy(lambda b: job.local_counts(local, b)), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= heavy_df // 2).toPandas()
-    order = np.argsort(heavy["token"].to_numpy().astype(np.int64).view(_U)) if len(heavy) else np.zeros(0, np.int64)
-    listed = (heavy["token"].to_numpy().astype(np.int64).view(_U)[order], heavy["df"].to_numpy().astype(np.int64)[order] + heavy_df)
+    heavy = sets.mapInArrow(tidy(lambda b: job.local_counts(local, b)), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= heavy_df // 2).toArrow()
+    token, df = (np.asarray(heavy.column(c).to_numpy(), dtype=np.int64) for c in ("token", "df"))
+    order = np.argsort(token.view(_U))
+    listed = (token.view(_U)[order], df[order] + heavy_df)
     held = spark.sparkContext.broadcast(listed)
     entries = sets.mapInArrow(tidy(lambda b: job.entries(held, b)), _PACKED_SQL)
     answers = entries.groupBy("bucket").applyInArrow(lambda t: tidied(job.frequencies(t)), _PACKED_SQL)
@@ -389,7 +418,7 @@ def shingle_links(docs: DataFrame, setup: JoinSetup = JoinSetup(), id_col: str =
         right = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("tb"))
         asked = pairs.join(many, F.col("a") == F.col("hub"), "left").select("a", "b", salt.alias("salt"))
         both = asked.join(right, F.col("b") == F.col("y")).join(left, (F.col("a") == F.col("x")) & (F.col("salt") == F.col("part")))
-        return both.select("a", "b", "ta", "tb").mapInArrow(tidy(job.verify), "a long, b long").distinct()
+        return both.select("a", "b", "ta", "tb").mapInArrow(tidy(job.verify), "a long, b long")
 
     def labelled(links: DataFrame, name: str) -> DataFrame:
         found = components(links, name)
@@ -410,6 +439,7 @@ def shingle_links(docs: DataFrame, setup: JoinSetup = JoinSetup(), id_col: str =
 
     links = settled(verified(stars(posts.withColumn("comp", F.col("doc_id")))), "near-stars")
     own = labelled(links, "near-first")
+    tidy_driver(spark)
     links = links.union(settled(verified(stars(mixed_runs(own).filter("comp <> main"))), "near-stars"))
     own = labelled(links, "near-second")
 
@@ -423,6 +453,7 @@ def shingle_links(docs: DataFrame, setup: JoinSetup = JoinSetup(), id_col: str =
     met = x.join(y, on).select(F.least("xdoc_id", "ydoc_id").alias("a"), F.greatest("xdoc_id", "ydoc_id").alias("b"), F.least("xell", "yell").alias("ell"))
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("ell")).filter("shared >= ell").select("a", "b")
     second = settled(verified(pairs), "near-pairs")
+    tidy_driver(spark)
     return info, classes, links.union(second)
 
 
@@ -441,7 +472,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are judged, not ids: rows that repeat an id, or have none, stand for themselves, and of rows
     alike in all columns one stays.  Texts without words are in no group, and all of them stay.
     """
-    node, = fresh(docs, "node")
+    node, = unused_names(docs, "node")
     rows = docs.withColumn(node, row_key(docs))
     keyed = rows.select(F.col(node).alias("node"), F.col("doc_id").cast("long").alias("id"), "text")
     groups = near_groups(keyed, id_col="node")

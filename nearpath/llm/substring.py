@@ -100,9 +100,9 @@ class Once:
         if len(self._sent) > self._limit:
             self._sent.clear()
         rows = columns[0].tolist() if len(columns) == 1 else list(zip(*(c.tolist() for c in columns)))
-        fresh = np.fromiter((r not in self._sent for r in rows), dtype=bool, count=len(rows))
+        new = np.fromiter((r not in self._sent for r in rows), dtype=bool, count=len(rows))
         self._sent.update(rows)
-        return fresh
+        return new
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:

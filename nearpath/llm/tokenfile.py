@@ -24,7 +24,6 @@ import functools
 import os
 import re
 import struct
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -37,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearpath.llm.bpe import LATIN, PLAIN, Memo, byte_characters, default_path
-from nearpath.llm.common import documents, shared_dir, shuffle_partitions, tidy
+from nearpath.llm.common import documents, intermediate, shuffle_partitions, tidy
 
 #: Ids of a segment after which the next document starts a new one.
 SEGMENT_IDS = 1 << 20
@@ -236,7 +235,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_dir(spark)}/nearpath/tokens-{uuid.uuid4().hex}"
+    out = intermediate(spark, "tokens")
     write_tokens(documents(spark, sf_dir), out)
     return read_tokens(spark, out)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpath.llm.common import documents, labels, tidy
+from nearpath.llm.common import documents, labels, tidy, tidy_driver
 from nearpath.llm.wordcore import NOT_WORD, Words, slices
 
 _U = np.uint64
@@ -410,21 +410,13 @@ def held_out(id_col: F.Column) -> F.Column:
 
 
 def fit(docs: DataFrame, marks: DataFrame, setup: FitSetup = FitSetup()) -> Model | None:
-    """Train on the contract's rows, those that are not held out.
-
-    One task takes the bounded sample and trains; the driver only receives the model, and a lost
-    executor means that the task starts again.
-    """
-    rows = sample(docs, marks.filter(~held_out(F.col("doc_id"))), setup)
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in (0, 1, 2))))
-        model = train([r[2] for r in found], [r[1] for r in found], setup)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
-
-    made = rows.repartition(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(made[0].model) if made else None
+    """Train on the contract's rows, those that are not held out; on the driver, which has the memory for
+    the bounded sample that a busy executor may lack."""
+    rows = sorted(tuple(r) for r in sample(docs, marks.filter(~held_out(F.col("doc_id"))), setup).collect())
+    model = train([r[2] for r in rows], [r[1] for r in rows], setup)
+    del rows
+    tidy_driver(docs.sparkSession)
+    return model
 
 
 def drop_toxic(docs: DataFrame, marks: DataFrame) -> DataFrame:
