@@ -173,7 +173,7 @@ def resample(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     tidy_driver(docs.sparkSession)
     if not taken.filter(F.col(copy) > 1).isEmpty():
         rows = rows.dropDuplicates()
-    joined = rows.join(taken.filter(F.col(times) > 0).drop(copy), key)
+    joined = rows.join(taken.filter(F.col(times) > 0).drop(copy).hint("merge"), key)  # one plan at every size
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
