@@ -33,7 +33,7 @@ def noting(f, seen, at):
     return call
 
 
-@pytest.mark.parametrize("name", ["confusion", "scores_per_query", "quality_summary", "frechet_range", "table_index"])
+@pytest.mark.parametrize("name", ["confusion", "scores_per_query", "quality_summary", "frechet_range", "table_index", "candidates_by_query"])
 def test_curves_collide_once(spark, copied, monkeypatch, name):
     place, con = copied
     seen = []
