@@ -185,8 +185,8 @@ def collision_join(spark: Spark, sf: str) -> DataFrame:
 
 @query(f"WITH {O.signatures(O.LINES, _LINE)}, {O.COLLIDE} SELECT query, candidate, score FROM scored")
 def collision_scores(spark: Spark, sf: str) -> DataFrame:
-    signed = line_signatures(spark, sf)
-    return collide.scores(signed, signed)
+    _, signed = line_classes(spark, sf)
+    return expand(collide.class_scores(signed, signed), signed, signed)
 
 
 @query(f"WITH {O.signatures(O.LINES, _LINE)} SELECT DISTINCT id AS query FROM sig")
