@@ -197,8 +197,8 @@ def colliding_queries(spark: Spark, sf: str) -> DataFrame:
 
 @query(f"WITH {O.signatures(O.LINES, _LINE)}, {O.COLLIDE} SELECT query, count(*) AS candidates FROM scored GROUP BY query")
 def candidates_per_query(spark: Spark, sf: str) -> DataFrame:
-    signed = line_signatures(spark, sf)
-    return collide.candidates_per_query(collide.collisions(signed, signed))
+    _, signed = line_classes(spark, sf)
+    return collide.class_counts(signed, signed)
 
 
 @query(f"WITH {O.signatures(O.LINES, _LINE)}, {O.COLLIDE} SELECT query, array_to_string(list(candidate ORDER BY candidate), ',') AS candidates FROM scored GROUP BY query")
