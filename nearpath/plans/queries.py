@@ -243,11 +243,11 @@ def hamming_banded(spark: Spark, sf: str) -> DataFrame:
 
 @query(f"WITH {O.signatures(O.LINES, _LINE)}, {O.codes(8)}, met AS (SELECT DISTINCT a.id AS query, b.id AS candidate FROM sig a JOIN sig b ON a.t = b.t AND a.hash = b.hash) SELECT a.id AS query, b.id AS candidate, bit_count({O.mask(8)})::INTEGER AS distance FROM met JOIN code a ON a.id = query JOIN code b ON b.id = candidate WHERE bit_count({O.mask(8)}) <= {RADIUS}")
 def hamming_of_collisions(spark: Spark, sf: str) -> DataFrame:
-    codes = line_codes(spark, sf)
-    found = collide.collisions(codes.withColumnRenamed("code", "hashes"), codes.withColumnRenamed("code", "hashes"))
-    q, c = codes.select(F.col("id").alias("query"), F.col("code").alias("qcode")), codes.select(F.col("id").alias("candidate"), F.col("code").alias("ccode"))
+    _, signed = line_classes(spark, sf)
+    found, codes = collide.class_scores(signed, signed).select("query", "candidate"), signed.classes
+    q, c = codes.select(F.col("id").alias("query"), F.col("hashes").alias("qcode")), codes.select(F.col("id").alias("candidate"), F.col("hashes").alias("ccode"))
     met = found.join(q, "query").join(c, "candidate").select("query", "candidate", S.hamming(F.col("qcode"), F.col("ccode")).alias("distance"))
-    return met.filter(F.col("distance") <= RADIUS)
+    return expand(met.filter(F.col("distance") <= RADIUS), signed, signed)
 
 
 def _early(bound: int) -> str:
