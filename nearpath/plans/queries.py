@@ -179,8 +179,8 @@ def distinct_hashes(spark: Spark, sf: str) -> DataFrame:
 
 @query(f"WITH {O.signatures(O.LINES, _LINE)}, {O.COLLIDE} SELECT query, candidate FROM scored")
 def collision_join(spark: Spark, sf: str) -> DataFrame:
-    signed = line_signatures(spark, sf)
-    return collide.collisions(signed, signed)
+    _, signed = line_classes(spark, sf)
+    return expand(collide.class_scores(signed, signed).select("query", "candidate"), signed, signed)
 
 
 @query(f"WITH {O.signatures(O.LINES, _LINE)}, {O.COLLIDE} SELECT query, candidate, score FROM scored")
