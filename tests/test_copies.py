@@ -33,7 +33,7 @@ def noting(f, seen, at):
     return call
 
 
-@pytest.mark.parametrize("name", ["confusion", "scores_per_query", "quality_summary", "frechet_range", "table_index", "candidates_by_query", "collision_scores", "frechet_of_collisions", "pair_file", "candidates_per_query", "hamming_of_collisions", "seed_summary", "collision_join", "partial_verify_scores"])
+@pytest.mark.parametrize("name", ["confusion", "scores_per_query", "quality_summary", "frechet_range", "table_index", "candidates_by_query", "collision_scores", "frechet_of_collisions", "pair_file", "candidates_per_query", "hamming_of_collisions", "seed_summary", "collision_join", "partial_verify_scores", "results_json"])
 def test_curves_collide_once(spark, copied, monkeypatch, name):
     place, con = copied
     seen = []
