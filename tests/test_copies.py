@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from nearpath.operators import collide, copies
+from nearpath.operators import collide, copies, evaluate
 from nearpath.plans import files  # noqa: F401
 from nearpath.plans import queries as search
 from tests.test_entry import SF, pytestmark, rows_of  # noqa: F401
@@ -42,6 +42,15 @@ def test_curves_collide_once(spark, copied, monkeypatch, name):
     assert seen and max(seen) <= CURVES
 
 
+@pytest.mark.parametrize("name", ["frechet_matrix"])
+def test_distances_are_computed_once(spark, copied, monkeypatch, name):
+    place, con = copied
+    seen = []
+    monkeypatch.setattr(evaluate, "with_distance", noting(evaluate.with_distance, seen, 0))
+    assert rows_of(search.QUERIES[name](spark, place).toPandas()) == rows_of(con.sql(search.ORACLES[name]).df())
+    assert seen and max(seen) <= USERS * (USERS + 1) // 2
+
+
 @pytest.mark.parametrize("at_once", [2, 4096])
 def test_fold(spark, at_once):
     """Very common values are gathered in parts, and no row is lost."""
