@@ -42,6 +42,15 @@ def test_curves_collide_once(spark, copied, monkeypatch, name):
     assert seen and max(seen) <= CURVES
 
 
+def test_near_curves_are_compared_once(spark, copied, monkeypatch):
+    place, con = copied
+    seen = []
+    monkeypatch.setattr(evaluate, "verify_all", noting(evaluate.verify_all, seen, 0))
+    got = rows_of(search.QUERIES["near_pairs"](spark, place).toPandas())
+    assert got == rows_of(con.sql(search.ORACLES["near_pairs"]).df())
+    assert seen and max(seen) < len(got[0]) / TIMES
+
+
 @pytest.mark.parametrize("name", ["frechet_matrix"])
 def test_distances_are_computed_once(spark, copied, monkeypatch, name):
     place, con = copied
