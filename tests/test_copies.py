@@ -51,7 +51,7 @@ def test_near_curves_are_compared_once(spark, copied, monkeypatch):
     assert seen and max(seen) < len(got[0]) / TIMES
 
 
-@pytest.mark.parametrize("name", ["frechet_matrix", "percentiles", "hash_correlation", "histogram"])
+@pytest.mark.parametrize("name", ["frechet_matrix", "percentiles", "hash_correlation", "histogram", "frechet_filter"])
 def test_distances_are_computed_once(spark, copied, monkeypatch, name):
     place, con = copied
     seen = []
