@@ -78,3 +78,9 @@ def test_fold(spark, at_once):
     pairs = [(min(a), min(b)) for a in by.values() for b in by.values()]
     got = [tuple(r) for r in copies.expand(spark.createDataFrame(pairs, "query long, candidate long"), f, f).collect()]
     assert len(got) == 3600 and len(set(got)) == 3600
+
+
+def test_vector_pairs_are_compiled(spark):
+    """Codes are made once, and no pair goes through an interpreted function."""
+    plan = search.QUERIES["hash_vector_distances"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "MapInArrow" not in plan
