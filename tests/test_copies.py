@@ -84,3 +84,12 @@ def test_vector_pairs_are_compiled(spark):
     """Codes are made once, and no pair goes through an interpreted function."""
     plan = search.QUERIES["hash_vector_distances"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and "MapInArrow" not in plan
+
+
+def test_trie_codes_are_made_once(spark, monkeypatch):
+    from nearpath.plans import index
+
+    plans, found = [], index.hamming.early_exit_search
+    monkeypatch.setattr(index.hamming, "early_exit_search", lambda a, b, *rest: plans.append(b._jdf.queryExecution().optimizedPlan().toString()) or found(a, b, *rest))
+    search.QUERIES["trie_index"](spark, SF)
+    assert plans and "MapInArrow" not in plans[0]
