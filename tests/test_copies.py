@@ -93,3 +93,7 @@ def test_trie_codes_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(index.hamming, "early_exit_search", lambda a, b, *rest: plans.append(b._jdf.queryExecution().optimizedPlan().toString()) or found(a, b, *rest))
     search.QUERIES["trie_index"](spark, SF)
     assert plans and "MapInArrow" not in plans[0]
+
+
+def test_early_exit_codes_are_made_once(spark):
+    assert "MapInArrow" not in search.QUERIES["hamming_early_exit"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
