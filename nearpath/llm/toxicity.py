@@ -412,9 +412,12 @@ def held_out(id_col: F.Column) -> F.Column:
 def fit(docs: DataFrame, marks: DataFrame, setup: FitSetup = FitSetup()) -> Model | None:
     """Train on the contract's rows, those that are not held out; on the driver, which has the memory for
     the bounded sample that a busy executor may lack."""
-    rows = sorted(tuple(r) for r in sample(docs, marks.filter(~held_out(F.col("doc_id"))), setup).collect())
-    model = train([r[2] for r in rows], [r[1] for r in rows], setup)
+    rows = sample(docs, marks.filter(~held_out(F.col("doc_id"))), setup).toArrow().sort_by([(c, "ascending") for c in ("draw", "toxic", "text")])
+    texts, toxic = rows["text"].to_pylist(), rows["toxic"].to_pylist()
     del rows
+    tidy_driver(docs.sparkSession)  # the heap that reading took is not held beside the training
+    model = train(texts, toxic, setup)
+    del texts
     tidy_driver(docs.sparkSession)
     return model
 

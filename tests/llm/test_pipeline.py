@@ -133,3 +133,17 @@ def test_stages_on_odd_rows(spark, tmp_path):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     encoded = [(r[0], tok.encode(r[1] or "", add_special_tokens=False).ids) for r in kept[4]]
     assert count(kept[5]) == count((i, len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))) for i, ids in encoded)
+
+
+def test_driver_is_tidy_before_it_trains(spark, monkeypatch):
+    """What reading the sample took is given back before the training takes its own."""
+    from nearpath.llm import toxicity
+
+    done = []
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(8)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "tidy_driver", lambda session: done.append("tidy"))
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, setup: done.append(sorted(zip(texts, toxic))))
+    toxicity.fit(docs, marks)
+    kept = [i for i, out in docs.select("doc_id", toxicity.held_out(docs.doc_id)).collect() if not out]
+    assert done == ["tidy", sorted((f"some words {i}", i % 2) for i in kept), "tidy"]
