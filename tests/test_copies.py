@@ -97,3 +97,24 @@ def test_trie_codes_are_made_once(spark, monkeypatch):
 
 def test_early_exit_codes_are_made_once(spark):
     assert "MapInArrow" not in search.QUERIES["hamming_early_exit"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_of_curves_meet(spark, monkeypatch):
+    """All pairs, each of one set measured once; a curve goes to a task once for a block, not for each pair."""
+    import numpy as np
+
+    from nearpath.functions import frechet as measure
+
+    rng = np.random.default_rng(3)
+    curves = {i: rng.random((1 + i % 9, 2)) for i in range(40)}
+    frame = lambda ids: spark.createDataFrame([(i, [tuple(map(float, p)) for p in curves[i]]) for i in ids], "id long, pts array<struct<x:double,y:double>>")
+    cores, seen = spark.sparkContext.defaultParallelism, []
+    monkeypatch.setattr(evaluate, "with_distance", noting(evaluate.with_distance, seen, 0))
+    monkeypatch.setattr(measure._block_distances, "__defaults__", (7,))
+    rows, few = frame(range(40)), frame(range(7))
+    blocks = min(40, 4 * cores)
+    for queries, data, n, pairs, most in ((rows, rows, 40, 820, blocks * (blocks + 1) // 2), (few, rows, 7, 280, 7 * blocks)):
+        got = [tuple(r) for r in evaluate.distance_matrix(queries, data, 6).collect()]
+        want = {(i, j): float(measure.frechet(curves[i][None], curves[j][None])[0]) for i in range(n) for j in range(40)}
+        assert len(got) == len(want) and all(abs(want[i, j] - d) < 1e-6 and d == round(d, 6) for i, j, d in got)
+        assert {(i, j) for i, j, _ in got} == set(want) and seen.pop() <= most < pairs
