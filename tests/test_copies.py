@@ -118,3 +118,18 @@ def test_blocks_of_curves_meet(spark, monkeypatch):
         want = {(i, j): float(measure.frechet(curves[i][None], curves[j][None])[0]) for i in range(n) for j in range(40)}
         assert len(got) == len(want) and all(abs(want[i, j] - d) < 1e-6 and d == round(d, 6) for i, j, d in got)
         assert {(i, j) for i, j, _ in got} == set(want) and seen.pop() <= most < pairs
+
+
+@pytest.mark.parametrize("empty", [0, 2])
+def test_near_pairs_are_checked_in_one_order(spark, monkeypatch, empty):
+    """Curves of one set meet once; only empty ones, if there are any, meet all others."""
+    rows = [(i, [(float(i), 0.0), (float(i), 1.0)]) for i in range(20)] + [(100 + i, []) for i in range(empty)]
+    seen = []
+    monkeypatch.setattr(evaluate, "verify_all", noting(evaluate.verify_all, seen, 0))
+    frame = spark.createDataFrame(rows, "id long, pts array<struct<x:double,y:double>>")
+    near = evaluate.near_pairs(frame, frame, 4.0)
+    got = [tuple(r) for r in near.collect()]
+    want = {(i, j) for i, p in rows for j, q in rows if not p or not q or abs(i - j) <= 4}
+    assert len(got) == len(want) and set(got) == want
+    assert seen == [sum(i <= j for i, j in want if j < 100)]
+    assert empty or "Union" not in near._jdf.queryExecution().optimizedPlan().toString()
