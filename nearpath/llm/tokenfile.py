@@ -30,18 +30,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearpath.llm.bpe import LATIN, PLAIN, Memo, byte_characters, default_path
+from nearpath.llm.bpe import LATIN, PLAIN, byte_characters, default_path
 from nearpath.llm.common import documents, intermediate, shuffle_partitions, tidy
 
 #: Ids of a segment after which the next document starts a new one.
 SEGMENT_IDS = 1 << 20
 END_ID = 2
 _SAMPLE = 64
+#: Bytes of texts whose pieces are found at once; a longer text is split alone.
+SPLIT_BYTES = 4 << 20
+#: Unseen pieces of one call of the model.
+MODEL_PIECES = 64
+#: Pieces after which a worker's memo starts a new generation, beside the one before, and their longest.
+MEMO_PIECES = 200_000
+MEMO_BYTES = 64
 
 
 class EliasFano:
@@ -130,11 +138,68 @@ class Segment:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
+#: Characters that count as digits in plain texts.
+_NUMBER = "0-9²³¹¼-¾"
+#: Classes of the characters of plain texts; 0 is any other character.
+_LETTER, _DIGIT, _SIGN, _SPACE, _BREAK = range(1, 6)
+
+
+def _class(c: str) -> int:
+    if PLAIN.search(c):
+        return 0
+    return _SPACE if c == " " else _BREAK if c.isspace() else _LETTER if re.match(f"[{LATIN}]", c) else _DIGIT if re.match(f"[{_NUMBER}]", c) else _SIGN
+
+
+class Splitter:
+    """Starts of the pieces of plain texts, found in the bytes of many texts at once."""
+
+    def __init__(self):
+        self.one = bytes(_class(chr(b)) if b < 128 else 0 for b in range(256))
+        self.two = np.zeros(1 << 16, dtype=np.uint8)
+        for code in range(0x80, 0x800):
+            a, b = chr(code).encode()
+            self.two[a << 8 | b] = _class(chr(code))
+
+    def classes(self, data: np.ndarray) -> np.ndarray:
+        """Class of the character that each byte belongs to."""
+        found = np.frombuffer(bytearray(data.tobytes().translate(self.one)), dtype=np.uint8)
+        at = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
+        kinds = self.two[data[at].astype(np.uint16) << 8 | data[at + 1]]
+        found[at], found[at + 1] = kinds, kinds
+        return found
+
+    @staticmethod
+    def starts(data: np.ndarray, kinds: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Places where pieces start, of texts that start at ``texts`` and are of known classes."""
+        n = len(data)
+        space = kinds >= _SPACE
+        edge = np.zeros(n + 3, dtype=bool)
+        edge[texts] = True
+        edge[n] = True
+        start = np.zeros(n + 3, dtype=bool)
+        # a space goes to what follows it
+        start[1:n] = (kinds[1:] != kinds[:-1]) & (kinds[:-1] != _SPACE)
+        # of a run of white space, the last character is apart if the text goes on
+        more = np.flatnonzero(space[1:] & space[:-1]) + 1
+        start[more] = ~(edge[more + 1] | np.append(space, True)[more + 1])
+        start[texts] = True
+        start[n:] = False
+        mark = np.flatnonzero(data == 0x27)
+        mark = mark[start[mark]]
+        after = np.append(data, np.zeros(2, dtype=np.uint8))
+        first, second = after[mark + 1], after[mark + 2]
+        short = mark[np.isin(first, list(b"stmd")) & ~edge[mark + 1]]
+        long = mark[np.isin(first.astype(np.uint16) << 8 | second, [a << 8 | b for a, b in (b"re", b"ve", b"ll")]) & ~edge[mark + 1] & ~edge[mark + 2]]
+        start[short + 1], start[long + 1] = False, False
+        start[short + 2], start[long + 3] = True, True
+        return np.flatnonzero(start[:n])
+
+
 class LibraryEncoder:
     """The tokenizers library behind a memo of pieces, which the file's splitter makes independent.
 
-    Plain texts are split here and their unseen pieces go to the library's BPE model; texts with
-    special tokens or rarer characters go to the library whole.
+    Plain texts are split here, many at a time, and their unseen pieces go to the library's BPE model,
+    many a call; texts with special tokens or rarer characters go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -148,21 +213,90 @@ class LibraryEncoder:
         self.type = "<u2" if self.width == 2 else "<u4"
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.code = "H" if self.width == 2 else "I"
-        self.chars = {b: c for b, c in enumerate(byte_characters())}
-        self.memo = Memo(self._piece)
-        number = "0-9²³¹¼-¾"
-        self.piece = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[{number}]+| ?[^\\s{LATIN}{number}]+|\\s+(?!\\S)|\\s+")
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of one piece by the library's model, which takes byte characters."""
-        shown = piece.encode().decode("latin-1").translate(self.chars)
-        return array(self.code, [t.id for t in self.tok.model.tokenize(shown)]).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Packed ids of a text."""
-        if PLAIN.search(text) or any(s in text for s in self.special):
-            return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.memo.__getitem__, self.piece.findall(text)))
+        self.chars = np.asarray(list(map(ord, byte_characters())), dtype="<u2")
+        self.apart = self._apart()
+        self.splitter = Splitter()
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _apart(self) -> int | None:
+        """Id of the byte 255, which is in no UTF-8 text, if no merge takes it: merges do not cross it."""
+        model, vocab, c = self.tok.model, self.tok.get_vocab(with_added_tokens=False), byte_characters()[255]
+        if model.dropout or model.ignore_merges or model.continuing_subword_prefix or model.end_of_word_suffix or sum(c in t for t in vocab) != 1:
+            return None
+        return vocab.get(c)
+
+    def _model(self, block: bytes) -> list[int]:
+        """Ids of bytes by the library's model, which takes byte characters."""
+        return [t.id for t in self.tok.model.tokenize(self.chars[np.frombuffer(block, dtype=np.uint8)].tobytes().decode("utf-16-le"))]
+
+    def _unseen(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece."""
+        if self.apart is None:
+            return [array(self.code, self._model(p)).tobytes() for p in pieces]
+        ids = array(self.code)
+        for at in range(0, len(pieces), MODEL_PIECES):
+            ids.extend(self._model(b"\xff".join(pieces[at : at + MODEL_PIECES])))
+            ids.append(self.apart)
+        block, ends = ids.tobytes(), (np.flatnonzero(np.asarray(ids) == self.apart) * self.width).tolist()
+        return [block[a:b] for a, b in zip([0, *(e + self.width for e in ends)], ends)]
+
+    def _packed(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct pieces, from the memo if they are there."""
+        found = list(map(self.memo.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i in new:
+            found[i] = self.older.get(pieces[i])
+        unseen = [i for i in new if found[i] is None]
+        for i, ids in zip(unseen, self._unseen([pieces[i] for i in unseen])):
+            found[i] = ids
+        self.memo.update((pieces[i], found[i]) for i in new if len(pieces[i]) <= MEMO_BYTES)
+        if len(self.memo) >= MEMO_PIECES:
+            self.memo, self.older = {}, self.memo
+        return found
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Packed ids of each text (null: none), of which about ``SPLIT_BYTES`` are split at once."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + SPLIT_BYTES, "right")))
+            yield from self._encode_some(pc.fill_null(texts.slice(at, upto - at), ""))
+            at = upto
+
+    def _encode_some(self, texts: pa.Array) -> Iterator[bytes]:
+        texts.validate(full=True)  # else bytes of two texts could pass for a character
+        bounds, data = self._bytes(texts)
+        kinds = self.splitter.classes(data)
+        whole = np.zeros(len(texts), dtype=bool)
+        whole[np.searchsorted(bounds, np.flatnonzero(kinds == 0), "right") - 1] = True
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if whole.any():
+            bounds, data = self._bytes(texts.filter(pa.array(~whole)))
+            kinds = self.splitter.classes(data)
+        plain = self._encode_plain(bounds, data, kinds)
+        for i, rare in enumerate(whole.tolist()):
+            yield array(self.code, self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids).tobytes() if rare else next(plain)
+
+    @staticmethod
+    def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the texts in their bytes, and the bytes."""
+        _, offsets, data = texts.buffers()
+        if not len(texts) or data is None:
+            return np.zeros(len(texts) + 1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+        bounds = np.frombuffer(offsets, dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        return bounds - bounds[0], np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]]
+
+    def _encode_plain(self, bounds: np.ndarray, data: np.ndarray, kinds: np.ndarray) -> Iterator[bytes]:
+        starts = self.splitter.starts(data, kinds, bounds[:-1])
+        places = np.append(starts, len(data)).astype(np.int32)
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(self._packed(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(pieces.indices)
+        _, offsets, block = ids.buffers()
+        cuts = np.frombuffer(offsets, dtype=np.int64)[ids.offset + np.searchsorted(starts, bounds)].tolist()
+        block = memoryview(block or b"")
+        return (block[a:b].tobytes() for a, b in zip(cuts, cuts[1:]))
 
 
 @functools.lru_cache(maxsize=2)
@@ -191,16 +325,14 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for key, packed in zip(piece.column(0).to_pylist(), (enc.encode(t or "") for t in piece.column(1).to_pylist())):
-                    keys.append(key)
-                    blocks += (packed, end)
-                    lengths.append(len(packed) // enc.width + 1)
-                    held += lengths[-1]
-                    if held >= SEGMENT_IDS:
-                        yield flush()
-                        keys, lengths, blocks, held, seg = [], [], [], 0, seg + 1
+            for key, packed in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1))):
+                keys.append(key)
+                blocks += (packed, end)
+                lengths.append(len(packed) // enc.width + 1)
+                held += lengths[-1]
+                if held >= SEGMENT_IDS:
+                    yield flush()
+                    keys, lengths, blocks, held, seg = [], [], [], 0, seg + 1
         if keys:
             yield flush()
 

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -109,6 +110,46 @@ def test_token_files_order_of_repeated_ids(spark, tmp_path):
     assert collections.Counter((r[0], r[2], r[3]) for r in starts[0]) == collections.Counter((i, len(x), zlib.crc32(x.tobytes())) for (i, _), x in zip(rows, ids))
 
 
+def token_encoders():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return tokenfile.LibraryEncoder(path), lambda t: np.asarray(library.encode(t or "", add_special_tokens=False).ids, "<u2").tobytes()
+
+
+def test_token_files_split_as_the_library(monkeypatch):
+    own, library = token_encoders()
+    monkeypatch.setattr(tokenfile, "MEMO_PIECES", 40)
+    rng = random.Random(23)
+    plain = ["don't", "'s", "'re", "'ve", "'ll", "'d", "'", "''", "r", "e", "l", "s", "t", " ", "  ", "\n", "\t", "\r\n", "é", "ʯ", "ª", "×", "²", "½", "9", "12", "!", "?!", "¡", "\u00ad", "x" * 90, *WORDS]
+    rare = ["ʰ", "\u00a0", "\u0085", "—", "中", "<|endoftext|>", "<|x", "\x0b", "\x1c", "\x00", "\x7f", "\U0001f600"]
+    for n in range(600):
+        pool = plain + rare * (n % 3 == 0)
+        texts = [rng.choice([None, ""]) if rng.random() < 0.1 else "".join(rng.choices(pool, k=rng.randint(1, 9))) for _ in range(rng.randint(0, 9))]
+        monkeypatch.setattr(tokenfile, "SPLIT_BYTES", rng.choice([1, 8, 40, 4 << 20]))
+        column = pa.array(["xé's", None, *texts], rng.choice([pa.string(), pa.large_string()])).slice(2)
+        assert list(own.encode_all(column)) == list(map(library, texts)), texts
+    own, _ = token_encoders()
+    texts = [t for c in map(chr, range(1, 0x800)) for t in (f"a{c}b 1{c}2 {c}{c}' {c}'s x{c}", f"{c}'ll{c} {c}\n {c}")]
+    assert [t for t, ids in zip(texts, own.encode_all(pa.array(texts))) if ids != library(t)] == []
+
+
+def test_token_files_work_grows_with_distinct_pieces(monkeypatch):
+    own, library = token_encoders()
+    rng = random.Random(29)
+    texts = [" ".join(rng.choices([f"{a}{b}" for a in WORDS for b in WORDS], k=400)) for _ in range(200)]
+    looked_up, calls, packed, model = [], [], own._packed, own._model
+    monkeypatch.setattr(own, "_packed", lambda pieces: looked_up.extend(pieces) or packed(pieces))
+    monkeypatch.setattr(own, "_model", lambda block: calls.append(block) or model(block))
+    assert list(own.encode_all(pa.array(texts))) == list(map(library, texts))
+    distinct = {p for t in texts for p in (t.split()[0], *(f" {w}" for w in t.split()[1:]))}
+    assert len(looked_up) == len(distinct) and len(calls) <= len(distinct) // tokenfile.MODEL_PIECES + 1
+    own.apart = None  # as for a tokenizer that merges the byte which keeps pieces apart
+    own.memo.clear()
+    assert list(own.encode_all(pa.array(texts[:9]))) == list(map(library, texts[:9]))
+
+
 def test_rule_without_bounds_breaks_nothing(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert quality.score_quality(docs, (quality.Rule("none", "n_words"),)).select(F.size("broken")).first()[0] == 0
