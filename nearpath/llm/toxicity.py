@@ -101,10 +101,15 @@ class Vocabulary:
 
     @classmethod
     def of_texts(cls, texts: list[str], setup: FitSetup) -> Vocabulary:
-        """One vocabulary over many texts, put together slice by slice."""
-        parts = [cls(offsets, raw, setup) for _, _, offsets, raw in slices(pa.array(texts, pa.string()))]
+        """One vocabulary over many texts, put together slice by slice; of a slice only this outlives it."""
+        parts = []
+        for _, _, offsets, raw in slices(pa.array(texts, pa.string())):
+            one = cls(offsets, raw, setup)
+            one.count, one.words, one.at = one.words.count, None, one.at.astype(np.int32)
+            parts.append(one)
         out = cls.__new__(cls)
         out.distinct, first, where = np.unique(np.concatenate([p.distinct for p in parts]), return_index=True, return_inverse=True)
+        where = where.astype(np.int32)
         base = np.r_[0, np.cumsum([len(p.distinct) for p in parts])]
         out.at = np.concatenate([where[b + p.at] for p, b in zip(parts, base)])
         out.word_slot = np.concatenate([p.word_slot for p in parts])[first]
@@ -112,9 +117,11 @@ class Vocabulary:
         start = np.r_[0, np.cumsum(n)[:-1]][first]
         n = n[first]
         out.edge = np.r_[0, np.cumsum(n)]
-        out.char_slot = np.concatenate([p.char_slot for p in parts])[np.repeat(start - out.edge[:-1], n) + np.arange(out.edge[-1])]
-        count = np.concatenate([p.words.count for p in parts])
-        out.words = SimpleNamespace(count=count, first=np.r_[0, np.cumsum(count)], doc=np.repeat(np.arange(len(count)), count))
+        chars = np.concatenate([p.char_slot for p in parts])
+        count = np.concatenate([p.count for p in parts])
+        del parts
+        out.char_slot = np.concatenate([chars[a : a + k] for a, k in zip(start.tolist(), n.tolist())]) if len(n) else chars
+        out.words = SimpleNamespace(count=count, first=np.r_[0, np.cumsum(count)])
         return out
 
     def chars(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,14 +284,15 @@ def train(texts: list[str], toxic: list[int], setup: FitSetup = FitSetup()) -> M
     net = Network.initial(s)
     p = net.p
     # features of too few documents, or of both classes alike, stay silent
-    doc_of = v.words.doc
-    pairs = np.unique(doc_of * len(v.word_slot) + v.at)
-    seen_doc, seen_word = pairs // len(v.word_slot), pairs % len(v.word_slot)
+    pairs = np.unique(np.repeat(np.arange(len(toxic)), v.words.count) * len(v.word_slot) + v.at)
+    seen_edge = np.searchsorted(pairs, np.arange(len(toxic) + 1) * len(v.word_slot))
+    seen_word = (pairs % max(1, len(v.word_slot))).astype(np.int32)
+    del pairs
     # rows come in the order of a hash, so every n-th document of a class is a fair share
     rank = np.where(toxic > 0, np.cumsum(toxic > 0), np.cumsum(toxic == 0))
     kept_out = rank % max(2, round(1 / s.check_share)) == 0
     held = np.zeros((2, 2, max(s.word_slots, s.char_slots)))  # (word or char, label, slot): documents
-    for d, (low, high) in enumerate(zip(np.searchsorted(seen_doc, np.arange(len(texts))), np.searchsorted(seen_doc, np.arange(len(texts)), side="right"))):
+    for d, (low, high) in enumerate(zip(seen_edge[:-1], seen_edge[1:])):
         if not kept_out[d]:
             held[0, int(toxic[d]), np.unique(v.word_slot[seen_word[low:high]])] += 1
             held[1, int(toxic[d]), np.unique(v.chars(seen_word[low:high])[0])] += 1

@@ -147,3 +147,47 @@ def test_driver_is_tidy_before_it_trains(spark, monkeypatch):
     toxicity.fit(docs, marks)
     kept = [i for i, out in docs.select("doc_id", toxicity.held_out(docs.doc_id)).collect() if not out]
     assert done == ["tidy", sorted((f"some words {i}", i % 2) for i in kept), "tidy"]
+
+
+def test_driver_heap_is_given_back(spark):
+    """After tidying, the JVM holds little more heap than it uses; its settings are as before."""
+    import subprocess
+
+    from nearpath.llm.common import tidy_driver
+
+    jvm = spark._jvm
+    runtime, pid = jvm.java.lang.Runtime.getRuntime(), str(jvm.java.lang.ProcessHandle.current().pid())
+    flags = lambda: sorted(x.split("{")[0] for x in subprocess.run(["jcmd", pid, "VM.flags", "-all"], capture_output=True, text=True).stdout.splitlines() if "HeapFreeRatio" in x)
+    before = flags()
+    held = spark.sparkContext._gateway.new_array(jvm.byte, 600, 1 << 20)  # a heap that has grown
+    spark.sparkContext._gateway.detach(held)
+    del held
+    tidy_driver(spark)
+    assert runtime.freeMemory() < 0.3 * runtime.totalMemory() + (24 << 20)
+    assert flags() == before and len(before) == 2
+
+
+def test_training_keeps_little_of_its_texts():
+    """A vocabulary over many slices equals that of one slice, and holds one slice's arrays at a time."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    from nearpath.llm import toxicity, wordcore
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopé", k=rng.randint(1, 12))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=1500)) for _ in range(700)]
+    setup, size = toxicity.FitSetup(), sum(len(t.encode()) for t in texts)
+    assert size > 6 * wordcore.SLICE_BYTES
+    toxicity.Vocabulary.of_texts(texts[:200], setup)  # tables of powers, kept by the process
+    tracemalloc.start()
+    many = toxicity.Vocabulary.of_texts(texts, setup)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * size
+    one = toxicity.Vocabulary(*wordcore.text_buffers(toxicity.pa.array(texts)), setup)
+    for name in ("distinct", "at", "word_slot", "edge", "char_slot"):
+        assert np.array_equal(getattr(many, name), getattr(one, name))
+    assert np.array_equal(many.words.count, one.words.count) and np.array_equal(many.words.first, one.words.first)
