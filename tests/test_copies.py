@@ -133,3 +133,18 @@ def test_near_pairs_are_checked_in_one_order(spark, monkeypatch, empty):
     assert len(got) == len(want) and set(got) == want
     assert seen == [sum(i <= j for i, j in want if j < 100)]
     assert empty or "Union" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+def exchanged(frame):
+    """Columns of each shuffle of a plan."""
+    import re
+
+    text = frame._jdf.queryExecution().optimizedPlan().toString()
+    return len(re.findall(r"\n[ :+|-]*(?:Aggregate|Join) ", "\n" + text)), text
+
+
+@pytest.mark.parametrize("name", ["collision_scores", "collision_join", "hamming_of_collisions"])
+def test_colliding_pairs_are_not_shuffled(spark, name):
+    """A pair is scored in the first table in which it collides: one join, and nothing is grouped by pairs."""
+    steps, text = exchanged(search.QUERIES[name](spark, SF))
+    assert steps == 1 and "Aggregate" not in text
