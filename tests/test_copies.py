@@ -148,3 +148,10 @@ def test_colliding_pairs_are_not_shuffled(spark, name):
     """A pair is scored in the first table in which it collides: one join, and nothing is grouped by pairs."""
     steps, text = exchanged(search.QUERIES[name](spark, SF))
     assert steps == 1 and "Aggregate" not in text
+
+
+@pytest.mark.parametrize("name, steps", [("frechet_of_collisions", 1), ("frechet_range", 1), ("partial_verify_scores", 4), ("table_index", 4)])
+def test_checked_pairs_are_not_shuffled(spark, name, steps):
+    """Pairs carry their points: one join each time they are found, and one with the cut."""
+    found, text = exchanged(search.QUERIES[name](spark, SF))
+    assert found == steps and "Aggregate" not in text
