@@ -155,3 +155,13 @@ def test_checked_pairs_are_not_shuffled(spark, name, steps):
     """Pairs carry their points: one join each time they are found, and one with the cut."""
     found, text = exchanged(search.QUERIES[name](spark, SF))
     assert found == steps and "Aggregate" not in text
+
+
+@pytest.mark.parametrize("name", ["histogram", "hash_correlation"])
+def test_measured_pairs_are_not_shuffled(spark, monkeypatch, name):
+    """Hashes and copies go with the blocks: pairs meet no other table and are not written."""
+    written, found = [], evaluate.cut
+    monkeypatch.setattr(evaluate, "cut", lambda df, n: written.append(n) or found(df, n))
+    text = search.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    measured = text[: text.index("MapInArrow")]
+    assert "Join Inner, (" not in measured and "Join LeftOuter" not in measured and set(written) <= {"blocks", "means"}
