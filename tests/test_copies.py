@@ -165,3 +165,14 @@ def test_measured_pairs_are_not_shuffled(spark, monkeypatch, name):
     text = search.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     measured = text[: text.index("MapInArrow")]
     assert "Join Inner, (" not in measured and "Join LeftOuter" not in measured and set(written) <= {"blocks", "means"}
+
+
+@pytest.mark.parametrize("at_once", [2, 4096])
+def test_large_classes_collide_too(spark, at_once):
+    """Ids of small classes travel with the pairs; those of larger ones are found by a join, and no pair is lost."""
+    rows = [(i, [1, 2]) for i in range(copies.FEW + 6)] + [(100 + i, [1, 3]) for i in range(3)] + [(200, [5, 3]), (201, [9, 9])]
+    frame = spark.createDataFrame(rows, "id long, hashes array<bigint>")
+    assert copies.fold(frame, "hashes", at_once).many
+    got = [tuple(r) for r in collide.scores(frame, frame, at_once).collect()]
+    want = {(i, j, n) for i, a in rows for j, b in rows if (n := sum(x == y for x, y in zip(a, b)))}
+    assert len(got) == len(want) and set(got) == want
